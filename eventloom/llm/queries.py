@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding, simhash_dedup
+from . import packing, quality_rules, sharding, simhash_dedup, token_store
+from .scratch import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = token_store.write_store(table(spark, sf_dir, "documents"), new_path(spark, "store"), "word_bpe_49k.json", end_id=1)
+    return token_store.read_all(directory).withColumnRenamed("key", "doc_id")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), n_shards=40)
 
@@ -20,9 +26,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", capacity=2048, end_id=0)
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("code")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_quality_rules, op9_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op3_sharding, op4_quality_rules, op5_packing, op9_simhash_dedup)}
 ORACLE_SQL: dict[str, str] = {}
