@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, sharding, simhash_dedup, token_store
+from . import decontaminate, packing, quality_rules, sharding, simhash_dedup, token_store
 from .scratch import new_path
 
 
@@ -30,9 +30,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", capacity=2048, end_id=0)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("code")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op3_sharding, op4_quality_rules, op5_packing, op9_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op3_sharding, op4_quality_rules, op5_packing, op8_decontamination, op9_simhash_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -53,7 +53,10 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def clear(spark: SparkSession) -> None:
-    """Drops all scratch tables made so far; for callers that have written their results elsewhere."""
-    while _made:
-        drop(spark, _made.pop())
+def since(mark: int) -> list[str]:
+    """Paths made after the mark that ``made`` gave."""
+    return _made[mark:]
+
+
+def made() -> int:
+    return len(_made)
