@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, sharding, simhash_dedup, token_store
+from . import decontaminate, packing, quality_rules, sharding, simhash_dedup, token_store, tool_calls, url_filter
 from .scratch import new_path
 
 
@@ -30,6 +30,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", capacity=2048, end_id=0)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.labelled(spark))
+
+
+#: The tool that a plain chat calls: one reply for a turn's text.
+REPLY = {"properties": {"text": {"type": "string", "minLength": 1, "maxLength": 2000}, "turn": {"type": "integer", "minimum": 0}}, "required": ["text", "turn"], "additionalProperties": False}
+
+
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_turns(table(spark, sf_dir, "conversations"))
+    linked = tool_calls.link(calls, results, {"reply": REPLY})
+    return linked.select(F.col("conv").alias("conv_id"), "call_id", "tool", "position", "result_position", "status", "place", F.concat_ws("; ", "errors").alias("errors"), "valid", "canonical")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,5 +52,27 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("code")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op3_sharding, op4_quality_rules, op5_packing, op8_decontamination, op9_simhash_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_store, op3_sharding, op4_quality_rules, op5_packing, op6_url_filter, op7_tool_calls, op8_decontamination, op9_simhash_dedup)}
+
+_OP7 = """
+WITH calls AS (
+  SELECT conv_id, turn, text, conv_id || '/' || turn AS call_id FROM conversations WHERE role = 'user'
+), results AS (
+  SELECT conv_id, turn, text, conv_id || '/' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'
+), met AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id,
+    CASE WHEN c.call_id IS NOT NULL THEN 'reply' END AS tool, c.turn AS position, r.turn AS result_position,
+    CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+    c.text AS asked, r.text AS answered, c.call_id IS NOT NULL AS is_call
+  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+)
+SELECT conv_id, call_id, tool, position, result_position, status,
+  CASE WHEN is_call THEN row_number() OVER (PARTITION BY conv_id, is_call ORDER BY position) - 1 END AS place,
+  CASE WHEN NOT is_call THEN '' WHEN asked IS NULL THEN 'text: missing' WHEN length(asked) < 1 THEN 'text: minLength' WHEN length(asked) > 2000 THEN 'text: maxLength' ELSE '' END AS errors,
+  is_call AND asked IS NOT NULL AND length(asked) BETWEEN 1 AND 2000 AS valid,
+  CASE WHEN is_call THEN '{"arguments":{' || coalesce('"text":' || to_json(asked) || ',', '') || '"turn":' || position || '},"id":' || to_json(call_id)
+    || ',"name":"reply","result":' || coalesce(to_json(answered), 'null') || '}' END AS canonical
+FROM met
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_tool_calls": _OP7}
