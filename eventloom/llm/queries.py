@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, sharding, simhash_dedup, token_store, tool_calls, url_filter
+from . import decontaminate, license_scan, maxent_lm, packing, quality_rules, sharding, simhash_dedup, token_store, tool_calls, url_filter
 from .scratch import new_path
 
 
+#: Rows that Python workers get at a time: texts are long, and a worker holds a batch in several forms.
+ARROW_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = token_store.write_store(table(spark, sf_dir, "documents"), new_path(spark, "store"), "word_bpe_49k.json", end_id=1)
     return token_store.read_all(directory).withColumnRenamed("key", "doc_id")
@@ -52,7 +61,11 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("code")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op3_sharding, op4_quality_rules, op5_packing, op6_url_filter, op7_tool_calls, op8_decontamination, op9_simhash_dedup)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_store, op3_sharding, op4_quality_rules, op5_packing, op6_url_filter, op7_tool_calls, op8_decontamination, op9_simhash_dedup, op10_lm_scoring)}
 
 _OP7 = """
 WITH calls AS (
