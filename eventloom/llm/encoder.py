@@ -1,10 +1,11 @@
 """Token ids of whole texts with a public tokenizer file, quickly.
 
 Both known kinds of file cut a text at white space before anything else, and what lies between two cuts
-has the same ids wherever it stands.  So ids are kept by chunk in a bounded table, new chunks are encoded
-together, and a text's ids are its chunks' ids in a row.  Texts with characters outside a plain range
-(where the cut rules of Python and of the tokenizer might differ), and other kinds of file, go to the
-tokenizer whole.  Either way the ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+has the same ids wherever it stands.  So a batch of texts is cut into units by Arrow, each distinct unit is
+encoded once, and a text's ids are its units' ids in a row; units met before are kept in a bounded table.
+Texts in which the cut rules could matter (characters outside a plain range, unusual runs of white space)
+and other kinds of file go to the tokenizer whole.  Either way the ids are those of
+``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -15,12 +16,18 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: A text with other characters goes to the tokenizer whole; of the byte kind, one with other white space than single spaces and one or two line ends does too.
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-ɏ‐-‧€]")
-_CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
-#: Chunks kept in a worker's table.
+_BLANKS = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r")
+#: Between units when many are encoded as one text: never part of a unit or of a longer token.
+_MARK = "\x01"
+#: Units kept in a worker's table, and characters of text cut at a time.
 KEPT = 400_000
-_NONE = b""
+BATCH_CHARS = 4_000_000
+JOINED = 200
 
 
 class Encoder:
@@ -30,15 +37,14 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._kept, self._limit = {}, kept
+        self._kept: dict[str, bytes] = {}
+        self._limit = kept
         with open(path, encoding="utf-8") as file:
             self._kind = self._kind_of(json.load(file))
-        self._mark = {"byte": "\n", "word": "\x01"}.get(self._kind)
-        if self._mark:
-            ids = self._ids([self._mark])[0]
-            self._mark_id = int(ids[0])
-            if len(ids) != 1:
-                self._kind = None
+        mark = self._ids([_MARK])[0]
+        self._mark = int(mark[0]) if len(mark) else -1
+        if len(mark) != 1:
+            self._kind = None
         self.size = self._tokenizer.get_vocab_size()
 
     @staticmethod
@@ -55,21 +61,23 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, text: str) -> list[str]:
-        return _CHUNKS(text) if self._kind == "byte" else text.lower().split()
+    def _units(self, texts: list[str]) -> pa.ListArray:
+        """Byte kind: a unit starts at a space, which is left out, or at a line end, which stays; the text's start counts as a line end."""
+        if self._kind == "word":
+            return pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        return pc.split_pattern(pc.replace_substring(pa.array(["\n" + x for x in texts], pa.large_string()), "\n", " \n"), " ")
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, encoded as one text with a mark of one id between two chunks."""
-        blank = [w for w in new if w.isspace()]
-        solid = [w for w in new if not w.isspace()]
-        found = {w: x.tobytes() for w, x in zip(blank, self._ids(blank), strict=True)}
-        for at in range(0, len(solid), 20_000):
-            part = solid[at : at + 20_000]
-            joint = self._mark if self._kind == "byte" else f" {self._mark} "
-            ids = self._ids([joint.join(part)])[0]
-            marks = np.flatnonzero(ids == self._mark_id)
+        """Ids of units, encoded as one text with marks between."""
+        found: dict[str, bytes] = {"": b""}
+        new = [u for u in new if u]
+        for at in range(0, len(new), JOINED):
+            part = new[at : at + JOINED]
+            whole = part if self._kind == "word" else [u if u[:1] == "\n" else " " + u for u in part]
+            ids = self._ids([f" {_MARK} ".join(whole) if self._kind == "word" else _MARK.join(whole)])[0]
+            marks = np.flatnonzero(ids == self._mark)
             if len(marks) != len(part) - 1:
-                found |= {w: x.tobytes() for w, x in zip(part, self._ids(part), strict=True)}
+                found |= {w: x.tobytes() for w, x in zip(part, self._ids(whole), strict=True)}
                 continue
             raw = ids.tobytes()
             ends = [*(4 * marks).tolist(), len(raw)]
@@ -77,28 +85,45 @@ class Encoder:
             found.update(zip(part, [raw[a:b] for a, b in zip(starts, ends)], strict=True))
         return found
 
+    def _by_units(self, texts: list[str]) -> list[bytes]:
+        units = self._units(texts)
+        bounds = units.offsets.to_numpy().astype(np.int64)
+        coded = units.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds -= bounds[0]
+        names = coded.dictionary.to_pylist()
+        kept = self._kept
+        ids = list(map(kept.get, names))
+        new = self._learn([n for n, x in zip(names, ids) if x is None])
+        if len(kept) < self._limit:
+            kept.update(new)
+        ids = [new[n] if x is None else x for n, x in zip(names, ids)]
+        joined = pa.array(ids, pa.large_binary()).take(coded.indices)
+        raw = memoryview(joined.buffers()[2])
+        cuts = np.frombuffer(joined.buffers()[1], np.int64)[bounds]
+        # the byte kind's texts begin with an empty unit and with a line end of our own, which is one id
+        own = 4 if self._kind == "byte" else 0
+        return [bytes(raw[a + own : b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def _plain(self, text: str) -> bool:
+        if self._kind is None or _ODD.search(text):
+            return False
+        return self._kind == "word" or not (text[0] == " " or text[-1] == " " or text.endswith("\n\n") or any(b in text for b in _BLANKS))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; an empty text has none."""
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [k for k, x in enumerate(texts) if self._kind and not _ODD.search(x)]
-        whole = sorted(set(range(len(texts))) - set(plain))
+        out: list[bytes] = [b""] * len(texts)
+        plain = [k for k, x in enumerate(texts) if x and self._plain(x)]
+        whole = sorted({k for k, x in enumerate(texts) if x}.difference(plain))
         for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
             out[k] = ids.tobytes()
-        kept = self._kept
         at = 0
         while at < len(plain):
             size, end = 0, at
-            while end < len(plain) and size < 1_000_000:
+            while end < len(plain) and size < BATCH_CHARS:
                 size += len(texts[plain[end]])
                 end += 1
-            chunks = [self._chunks(texts[k]) for k in plain[at:end]]
-            new = self._learn(list({w for c in chunks for w in c if w not in kept}))
-            if len(kept) < self._limit:
-                kept.update(new)
-                new = kept
-            get, other = kept.get, new.get
-            for k, c in zip(plain[at:end], chunks, strict=True):
-                out[k] = b"".join(map(kept.__getitem__, c)) if new is kept else b"".join([get(w) or other(w, _NONE) for w in c])
+            for k, ids in zip(plain[at:end], self._by_units([texts[k] for k in plain[at:end]]), strict=True):
+                out[k] = ids
             at = end
         return out
 
