@@ -132,14 +132,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str
     def cut_texts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder(resolve(tokenizer)).encode
         for batch in texts:
-            out = []
-            for at in range(0, len(batch), 500):
-                part = [x or "" for x in batch.iloc[at : at + 500]]
-                out += [[dict(zip(("piece", "start", "length", "ids_crc32", "ids"), p, strict=True)) for p in cut(x + end, capacity, with_ids)] for x in encode(part)]
-            yield pd.Series(out)
-
-    rows = docs.select(F.col(key), *(F.col(c) for c in keep or []), cut_texts(F.col(text)).alias("_pieces"))
-    rows = rows.select(key, *(keep or []), F.explode("_pieces").alias("p"))
+            names = ("piece", "start", "length", "ids_crc32", "ids")
+            yield pd.Series([[dict(zip(names, p, strict=True)) for p in cut(ids + end, capacity, with_ids)] for ids in encode([x or "" for x in batch])])
+
+    # exploded where it is made: over a column of its own Spark infers a filter on it, which runs the function twice
+    rows = docs.select(F.col(key), *(F.col(c) for c in keep or []), F.explode(cut_texts(F.col(text))).alias("p"))
     return rows.select(key, *(keep or []), "p.piece", "p.start", "p.length", "p.ids_crc32", *(["p.ids"] if with_ids else []))
 
 

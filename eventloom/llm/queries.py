@@ -6,15 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, maxent_lm, packing, quality_rules, sharding, simhash_dedup, token_store, tool_calls, url_filter
-from .scratch import new_path
-
-
-#: Rows that Python workers get at a time: texts are long, and a worker holds a batch in several forms.
-ARROW_ROWS = 2000
+from .scratch import new_path, prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
