@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,10 +33,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """URI of the shared folder, without a slash at its end."""
+    """URI of the shared folder, without a slash at its end; a path without scheme is one of the default file system."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
-        return there.rstrip("/")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(there)
+        whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+        return re.sub(r"^file:/(?!/)", "file:///", whole).rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:

@@ -59,6 +59,18 @@ https://slots-poker-win.com/en/2
 https://payday-loans-cheap.com/apply
 http://malware-download.net/free.exe
 https://phishing-login.com/verify
+https://www.casino-bonus.example.com/en/7711
+http://m.lucky-casino.example.org/fr/310/
+https://blog.free-bets-today.example.com/es/4410.html
+http://bets-win.example.net/en/91?page=2
+https://m.buy-cheap-pills.example.com/en/1208
+http://www.pills-online.example.org/es/77#top
+https://ads-track-pixel.example.com/en/5
+http://m.ads-server.example.net/de/610/
+https://www.link-spam.example.com/fr/2207
+http://blog.spam-farm-links.example.org/en/31.html
+https://adult-x-chat.example.com/en/9001
+http://www.adult-cams.example.org/es/44
 """,
     "allow": """
 https://www.wikipedia.org/wiki/Spark
@@ -92,6 +104,14 @@ http://blog.weaver.org/en/6613
 https://www.sheath.com/en/31
 https://m.theory.org/de/4
 https://health.gov/en/advice/22
+https://thand.example.net/de/2201
+http://tiond.example.net/fr/87
+https://www.nding.example.net/es/3105/
+http://m.erthe.example.net/en/714.html
+https://blog.thersh.example.net/de/18#top
+http://anthe.example.net/fr/5023?page=2
+https://m.thent.example.com/de/902
+http://blog.ertion.example.com/de/4410
 https://www.forest.org/es/19
 http://words.com/en/3/
 https://www.standard.org/en/iso/7
@@ -163,7 +183,7 @@ def train(table: DataFrame, url: str = "url", blocked: str = "blocked") -> Logis
     if ones in (0, n):
         return bool(ones)
     rows = _features(rows).select("_features", "label").coalesce(1)
-    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=0.01, maxIter=100, standardization=False).fit(rows)
+    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=0.002, maxIter=200, standardization=False).fit(rows)
 
 
 def judge(pages: DataFrame, table: DataFrame, rules: tuple = RULES, key: str = "page_id", url: str = "url", threshold: float = 0.5) -> DataFrame:
