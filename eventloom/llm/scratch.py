@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that Python workers get at a time: texts are long, and a worker holds a batch in several forms.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1500
 
 _own: list[str] = []
 _made: list[str] = []
