@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import crop, overlaps
+
 
 def of_run(df: DataFrame, run: int | Column) -> DataFrame:
     """Rows of the current run; ``foreign`` has the others. A null run number is foreign."""
@@ -49,8 +51,10 @@ def data_requests(sliced: DataFrame, requests: DataFrame) -> DataFrame:
 
     The join is on the trigger, so the overlap is only a filter within one decision.
     """
-    met = sliced.join(requests, "trigger_number").where("window_begin <= slice_end AND window_end >= slice_begin")
-    return met.select("trigger_number", "sequence_number", "source_id", F.greatest("slice_begin", "window_begin").alias("window_begin"), F.least("slice_end", "window_end").alias("window_end"))
+    window, bounds = (F.col("window_begin"), F.col("window_end")), (F.col("slice_begin"), F.col("slice_end"))
+    met = sliced.join(requests, "trigger_number").where(overlaps(*window, *bounds))
+    begin, end = crop(*window, *bounds)
+    return met.select("trigger_number", "sequence_number", "source_id", begin.alias("window_begin"), end.alias("window_end"))
 
 
 def duplicates(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:

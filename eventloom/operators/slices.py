@@ -53,7 +53,16 @@ def tardiness(rows: DataFrame, groups: list[str], order: list[str], width: int,
     return out.withColumn("tardy_seconds", (F.col("largest_index") - F.col("slice_index")) * F.lit(width / ticks_per_second))
 
 
-def rates(rows: DataFrame, groups: list[str], order: str, time: str) -> DataFrame:
-    """Rows, first and last time in order of arrival, rows a second, and ticks a second of arrival order's span."""
-    out = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.min_by(time, order).alias("first_time"), F.max_by(time, order).alias("last_time"))
-    return out.withColumn("per_second", F.when(F.col("last_time") > F.col("first_time"), F.col("n") / ((F.col("last_time") - F.col("first_time")) / F.lit(1e6))))
+def rates(rows: DataFrame, groups: list[str], order: str, time: str, arrival_ms: str | None = None) -> DataFrame:
+    """Rows, first and last time in order of arrival, and rows a second.
+
+    The span is that of the times (microseconds), or with ``arrival_ms`` that of the wall clock; then
+    ``inferred_clock`` tells how many ticks went by in a second of it. Null where there is no span.
+    """
+    found = [F.count("*").alias("n"), F.min_by(time, order).alias("first_time"), F.max_by(time, order).alias("last_time")]
+    ticks = F.col("last_time") - F.col("first_time")
+    if arrival_ms is None:
+        return rows.groupBy(*groups).agg(*found).withColumn("per_second", F.when(ticks > 0, F.col("n") / (ticks / F.lit(1e6))))
+    out = rows.groupBy(*groups).agg(*found, (F.max(arrival_ms) - F.min(arrival_ms)).alias("elapsed_ms"))
+    some = F.col("elapsed_ms") > 0
+    return out.withColumns({"per_second": F.when(some, 1e3 * F.col("n") / F.col("elapsed_ms")), "inferred_clock": F.when(some, 1e3 * ticks / F.col("elapsed_ms"))})

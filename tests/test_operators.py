@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from eventloom.functions import scalars
 from eventloom.functions.ranking import grouped_rank, running
 from eventloom.operators import assembly, balance, checks, decisions, metrics, sink, slices
 from eventloom.sources import store, synth
@@ -323,3 +324,21 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "g long, k long, v long")
     assert grouped_rank(none, ["g"], ["k"]).count() == 0 and running(none, ["g"], ["k"], {"s": ("sum", "v")}).count() == 0
     assert sink.rollover(none, ["g"], ["k"], "v", 10).count() == 0
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([(125, "b"), (-125, "z")], "t long, n string")
+    names = {1: "a", 2: "b"}
+    got = df.select(scalars.slice_index(F.col("t"), 100).alias("i"), scalars.seconds(F.col("t"), 50.0).alias("s"), scalars.value_of(F.col("n"), names).alias("v"), scalars.valid(F.col("t"), 125).alias("x"))
+    assert [tuple(r) for r in got.collect()] == [(1, 2.5, 2, None), (-1, -2.5, None, -125)]
+    assert [r.n for r in spark.range(1, 4).select(scalars.name_of(F.col("id").cast("int"), names).alias("n")).collect()] == ["a", "b", "unknown"]
+    at = lambda f, *x: spark.range(1).select(f(*[F.lit(v) for v in x]).alias("v")).first().v
+    assert at(scalars.overlaps, 0, 5, 5, 9) and not at(scalars.overlaps, 0, 4, 5, 9)
+    assert at(scalars.inside, 5, 5, 6) and not at(scalars.inside, 6, 5, 6)
+
+
+def test_rates_by_the_wall_clock(spark):
+    df = spark.createDataFrame([(1, 0, 100, 0), (1, 1, 350, 500)], "run long, n long, t long, ms long")
+    got = slices.rates(df, ["run"], "n", "t", "ms").first()
+    assert (got.per_second, got.inferred_clock, got.elapsed_ms) == (4.0, 500.0, 500)
+    assert slices.rates(df.limit(1), ["run"], "n", "t").first().per_second is None
