@@ -145,8 +145,12 @@ def fit(counts: dict[str, int], rounds: int = 50, weight: float = 20.0) -> Fit:
 
 
 def pattern_counts(measured: DataFrame) -> dict[str, int]:
-    """Documents that pass the base rules by vote pattern: at most 3^len(RULES) rows, whatever the input."""
-    return {r["votes"]: r["n"] for r in measured.where("not base_failed").groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    """Documents that pass the base rules by vote pattern: at most 2 * 3^len(RULES) rows go to the driver, whatever the input.
+
+    Those that fail are counted too and dropped here: a filter would make Spark measure the texts twice.
+    """
+    counted = measured.groupBy("votes", "base_failed").agg(F.count("*").alias("n")).collect()
+    return {r["votes"]: r["n"] for r in counted if not r["base_failed"]}
 
 
 def verdicts(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
