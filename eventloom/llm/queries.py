@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, maxent_lm, packing, quality_rules, sharding, simhash_dedup, token_store, tool_calls, url_filter
-from .scratch import new_path, prepare
+from ..sources.scratch import new_path, prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

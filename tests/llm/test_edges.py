@@ -8,9 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from eventloom.llm import components, decontaminate, license_scan, maxent_lm, packing, quality_rules, scratch, sharding, simhash_dedup, token_store, tool_calls, url_filter
+from eventloom.llm import components, decontaminate, license_scan, maxent_lm, packing, quality_rules, sharding, simhash_dedup, token_store, tool_calls, url_filter
 from eventloom.llm.encoder import Encoder, resolve
 from eventloom.llm.perfect_hash import PerfectHash, packed, unpacked
+from eventloom.sources import scratch
 from frames import LICENSED, PROSE, documents, key, texts
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
