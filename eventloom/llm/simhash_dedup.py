@@ -3,9 +3,11 @@
 Fingerprints are 64 bits over 3-word shingles.  The search embeds a fingerprint as the bit counts of its
 32 segments of two bits.  The Manhattan distance of two such vectors never exceeds the Hamming distance,
 so whatever lies within Hamming distance 3 lies within Manhattan distance 3.  The range join over that
-grid: the segments form six groups; vectors within distance 3 agree in at least three groups, so they
-meet in a grid cell given by some three of the six groups (20 cells for each fingerprint).  Within a
-cell the Manhattan distance goes first, then the exact Hamming distance.
+grid: the segments form G groups; vectors within distance 3 agree in at least G - 3 groups, so they meet
+in a grid cell given by some G - 3 of the groups.  Within a cell the Manhattan distance goes first, then
+the exact Hamming distance.  With six groups (20 cells for each fingerprint, of about 23 bits) chance
+meetings are few up to some hundred million fingerprints; eight (56 cells of 28 bits) suit billions.
+Every choice finds the same links.
 
 A segment's count (0, 1, 2) is kept as the bits 00, 01, 11 in the segment's place: a cell is then a mask,
 and the Manhattan distance is the number of bits in which two codes differ.
@@ -31,8 +33,8 @@ from ..sources.scratch import staged
 from .text import words
 
 RADIUS = 3
-#: Bit ranges of the six groups: two-bit segments, so even bounds.
-_BOUNDS = (0, 12, 22, 32, 42, 54, 64)
+#: Groups of segments; more groups make more but smaller cells.
+GROUPS = 6
 #: More fingerprints of one cell than this are taken in blocks, block against block.
 BLOCK = 4096
 _ONE = np.uint64(1)
@@ -85,10 +87,13 @@ def _counts_code(bits: np.ndarray) -> np.ndarray:
     return ((bits | shifted) & _LOW) | ((bits & shifted & _LOW) << _ONE)
 
 
-def masks() -> list[int]:
-    """The 20 masks, each over three of the six groups."""
-    groups = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(_BOUNDS, _BOUNDS[1:])]
-    return [_signed(a | b | c) for a, b, c in combinations(groups, 3)]
+def masks(groups: int = GROUPS) -> list[int]:
+    """The masks over all but three of the groups, for each choice of the three."""
+    if not RADIUS < groups <= 32:
+        raise ValueError("groups must be from 4 to 32")
+    bounds = [2 * (32 * k // groups) for k in range(groups + 1)]
+    bits = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(bounds, bounds[1:])]
+    return [_signed(sum(chosen)) for chosen in combinations(bits, groups - RADIUS)]
 
 
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -194,7 +199,7 @@ def _between_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _rows(_forest(np.unique(held["a"].to_numpy(np.int64)).view(np.uint64)))
 
 
-def links(codes: DataFrame) -> DataFrame:
+def links(codes: DataFrame, groups: int = GROUPS) -> DataFrame:
     """codes: distinct fingerprints as the long column ``code``. Result: a, b long, a < b.
 
     A spanning set of all links within the radius: each fingerprint pair at distance 3 or less is linked
@@ -203,7 +208,7 @@ def links(codes: DataFrame) -> DataFrame:
     """
     code = F.col("code")
     embedded = counts_code(code)
-    tables = F.array(*[F.struct(F.lit(t).alias("table"), embedded.bitwiseAND(F.lit(m)).alias("cell")) for t, m in enumerate(masks())])
+    tables = F.array(*[F.struct(F.lit(t).alias("table"), embedded.bitwiseAND(F.lit(m)).alias("cell")) for t, m in enumerate(masks(groups))])
     cells = codes.select(code.alias("a"), F.explode(tables).alias("t")).select("t.table", "t.cell", "a")
     cells = cells.repartition("table", "cell").sortWithinPartitions("table", "cell")
     found = staged(cells.mapInPandas(_in_cells, _LINKS), "links")
@@ -218,19 +223,19 @@ def links(codes: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def classes(marked: DataFrame, least: str) -> DataFrame:
+def classes(marked: DataFrame, least: str, groups: int = GROUPS) -> DataFrame:
     """marked: a table with ``code`` and the order column ``least``. Result: code, class_least (of all rows of its class).
 
     ``marked`` is read twice; hand in a table that is cheap to read.
     """
     each = staged(marked.groupBy("code").agg(F.min(least).alias("least")), "codes")
-    found = components(links(each.select("code")))
+    found = components(links(each.select("code"), groups))
     named = each.join(found, each["code"] == found["node"], "left").select("code", F.coalesce("component", "code").alias("_class"), "least")
     of = named.groupBy("_class").agg(F.min("least").alias("class_least"))
     return named.join(of, "_class").select("code", "class_least")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: int = GROUPS) -> DataFrame:
     """One row per row of docs: key, code (signed long), fingerprint (16 hex digits), component_id.
 
     component_id is the smallest key reachable over links; null only if no row of the class has a key. Null
@@ -238,11 +243,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     class. An empty table gives an empty result. Only key and text are read.
     """
     marked = staged(docs.select(F.col(key).alias("_key"), fingerprints(F.col(text)).alias("code")), "fingerprints")
-    out = marked.join(classes(marked, "_key"), "code")
+    out = marked.join(classes(marked, "_key", groups), "code")
     return out.select(F.col("_key").alias(key), "code", hex16(F.col("code")).alias("fingerprint"), F.col("class_least").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: int = GROUPS) -> DataFrame:
     """The rows of docs with all columns, one of each class: the smallest key (null keys last), then the smallest row hash.
 
     Rows that agree in every column are one row afterwards. Column names that begin with ``_dedup`` are taken.
@@ -251,7 +256,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     row = F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
     rank = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), row.alias("r"))
     marked = staged(docs.select(rank.alias("rank"), fingerprints(F.col(text)).alias("code")), "fingerprints")
-    kept = classes(marked, "rank").select("class_least.*").distinct()
+    kept = classes(marked, "rank", groups).select("class_least.*").distinct()
     kept = kept.select(F.col("n").alias("_dedup_n"), F.coalesce(F.col("k").cast("string"), F.lit("")).alias("_dedup_k"), F.col("r").alias("_dedup_r"))
     there = docs.withColumns({"_dedup_n": F.col(key).isNull(), "_dedup_k": F.coalesce(F.col(key).cast("string"), F.lit("")), "_dedup_r": row})
     names = ["_dedup_n", "_dedup_k", "_dedup_r"]

@@ -232,6 +232,7 @@ def test_op9(docs, none):
     assert ids_of(got) == ALL
     assert by[4] == by[5] == by[6] == {("0" * 16, 4)} and ("0" * 16, 4) in by[None]
     assert {c for _, c in by[1] | by[2] | by[2**62]} == {1}
+    assert sorted(map(str, simhash_dedup.near_duplicates(docs, groups=8).collect())) == sorted(map(str, got.collect()))
     assert simhash_dedup.near_duplicates(none).count() == 0
     kept = simhash_dedup.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == len({c for v in by.values() for _, c in v} | {None} - {None})
@@ -246,9 +247,10 @@ def test_op9_embedding_bounds_the_distance(spark):
     exact = np.bitwise_count(a ^ b)
     bound = np.bitwise_count(simhash_dedup._counts_code(a) ^ simhash_dedup._counts_code(b))
     assert (bound <= exact).all()
-    masks = [np.uint64(m % 2**64) for m in simhash_dedup.masks()]
-    meet = np.any([(simhash_dedup._counts_code(a) & m) == (simhash_dedup._counts_code(b) & m) for m in masks], axis=0)
-    assert meet[exact <= 3].all()
+    for groups, many in ((4, 4), (6, 20), (8, 56)):
+        masks = [np.uint64(m % 2**64) for m in simhash_dedup.masks(groups)]
+        meet = np.any([(simhash_dedup._counts_code(a) & m) == (simhash_dedup._counts_code(b) & m) for m in masks], axis=0)
+        assert len(masks) == many and meet[exact <= 3].all()
     df = spark.createDataFrame([(int(x),) for x in a.view(np.int64)[:50]], "code long").select("code", simhash_dedup.counts_code(F.col("code")).alias("e"))
     assert all(int(simhash_dedup._counts_code(np.array([r.code], np.int64).view(np.uint64))[0]) == r.e % 2**64 for r in df.collect())
 
