@@ -27,9 +27,6 @@ from pyspark.sql import types as T
 from .encoder import encoder, resolve
 from .perfect_hash import PerfectHash, packed, unpacked
 
-#: Documents encoded at a time.
-_BATCH = 256
-
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
@@ -103,11 +100,10 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
         for batch in batches:
             columns.append(batch.column(0))
             hashes += batch.column(1).to_pylist()
-            for at in range(0, batch.num_rows, _BATCH):
-                for ids in worker.encode(batch.column(2).slice(at, _BATCH).to_pylist()):
-                    ids += end
-                    lengths.append(len(ids) // 4)
-                    payload.append(np.frombuffer(ids, "<u4").astype(kind).tobytes())
+            for ids in worker.encode(batch.column(2).to_pylist()):
+                ids += end
+                lengths.append(len(ids) // 4)
+                payload.append(np.frombuffer(ids, "<u4").astype(kind).tobytes())
         if not hashes:
             return
         base = _write_shard(folder, hashes, payload, lengths, kind)
