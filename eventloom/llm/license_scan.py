@@ -12,6 +12,7 @@ Whole texts are scanned one by one, so no group meets in a task; the index has a
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -158,15 +159,18 @@ class Index:
                     start = e
         kept: list[tuple] = []
         for matched, _, _, k, first, last in sorted(found, reverse=True):
-            if all(last < a or b < first for _, _, a, b in kept):
-                kept.append((k, matched, first, last))
+            # what is kept is disjoint and in order, so only the two neighbours can overlap
+            at = bisect(kept, first, key=lambda x: x[0])
+            if (at == 0 or kept[at - 1][1] < first) and (at == len(kept) or last < kept[at][0]):
+                kept.insert(at, (first, last, k, matched))
         if not kept:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
-        chars = lambda at: len(text[:at].decode("utf-8", "replace"))
+        #: Characters before each byte.
+        chars = np.r_[0, np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)]
         return [
-            (self.names[k], matched / len(self.texts[k]), matched, len(self.texts[k]), first, last, chars(spans[first][0]), chars(spans[last][1]))
-            for k, matched, first, last in sorted(kept, key=lambda x: x[2])
+            (self.names[k], matched / len(self.texts[k]), matched, len(self.texts[k]), first, last, int(chars[spans[first][0]]), int(chars[spans[last][1]]))
+            for first, last, k, matched in kept
         ]
 
 

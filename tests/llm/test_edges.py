@@ -58,6 +58,14 @@ def test_op1_finds_a_changed_text():
     assert index.scan(b"permission is granted to nobody") == []
 
 
+def test_op1_a_text_of_many_notices():
+    """Each of them is found, at its place in characters, in time that follows the text."""
+    index = license_scan.Index(tuple(sorted(license_scan.TEMPLATES.items())))
+    line = "é Licensed under CC BY-NC 4.0. Ünder words between the notices go on and on.\n"
+    got = index.scan((line * 3000).encode())
+    assert [(r[0], r[6], r[7]) for r in got] == [("CC-BY-NC-4.0 notice", k * len(line) + 2, k * len(line) + 29) for k in range(3000)]
+
+
 def test_op1_winnowing_meets_every_shared_run():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -317,6 +325,16 @@ def documents_of_remainder_one(docs):
     return docs.where("doc_id = 1").limit(1).withColumn("doc_id", F.explode(F.array(*[F.lit(k).cast("long") for k in keys])))
 
 
+def test_op10_changes_of_any_number_of_tasks_are_summed(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "FAN_IN", 3)
+    made = [(k % 2, 0, salt, 10 + salt, np.full(4, salt + k % 2, np.float32).tobytes()) for salt in range(20) for k in range(2)]
+    at, tasks = spark.createDataFrame(made, maxent_lm._BLOCKS), 20
+    while tasks > 1:
+        at, tasks = maxent_lm._summed(at), -(-tasks // 3)
+    got = {r["kind"]: (r["tokens"], np.frombuffer(r["sums"], np.float32).tolist()) for r in at.collect()}
+    assert got == {0: (390, [190.0] * 4), 1: (390, [210.0] * 4)}
+
+
 def test_op10_probabilities_sum_to_one():
     s = maxent_lm.Settings(frequent=100, classes=2, members=4, tails=3, pairs=16, inner=32)
     rows = [(w, c) for w, c in zip("the of and to in a is it xx yy zz qq".split(), range(40, 28, -1))] + [(maxent_lm.END, 9)]
