@@ -189,7 +189,6 @@ class Model:
 
     def __init__(self, lexicon: Lexicon, weights: tuple[np.ndarray, np.ndarray]):
         self.lexicon, self.weights = lexicon, weights
-        self.turn = 0
         self.squares = [np.full(len(w), 1e-2, np.float32) for w in weights]
 
     def batch(self, texts: pa.Array) -> tuple:
@@ -217,8 +216,8 @@ class Model:
         features = np.stack([last, s.contexts + skip, 2 * s.contexts + pair])
         return bounds, names, number, stream, at, features
 
-    def _pass(self, table: int, rows: np.ndarray, bias: np.ndarray, target: np.ndarray, learn: int | None) -> np.ndarray:
-        """log P of the targets (natural); with ``learn`` also a gradient step on the weights of that feature's rows."""
+    def _pass(self, table: int, rows: np.ndarray, bias: np.ndarray, target: np.ndarray, learn: bool) -> np.ndarray:
+        """log P of the targets (natural); with ``learn`` also a gradient step on the weights of every feature's rows."""
         w = self.weights[table]
         z = w.take(rows[0], 0)
         for r in rows[1:]:
@@ -229,33 +228,31 @@ class Model:
         total = e.sum(1)
         each = np.arange(len(target))
         out = z[each, target] - np.log(total)
-        if learn is not None:
+        if learn:
             e /= total[:, None]
             e[each, target] -= 1
-            own, g = _by_row(rows[learn], e)
-            self.squares[table][own] += np.square(g).mean(1)
-            w[own] -= self.lexicon.settings.rate * g / np.sqrt(self.squares[table][own])[:, None]
+            for r in rows:
+                own, g = _by_row(r, e)
+                self.squares[table][own] += np.square(g).mean(1)
+                w[own] -= self.lexicon.settings.rate * g / np.sqrt(self.squares[table][own])[:, None]
         return out
 
     def run(self, at: np.ndarray, features: np.ndarray, learn: bool) -> np.ndarray:
         """log P (natural) of each token but for its share of a tail class, in batches.
 
-        With ``learn`` each batch is a gradient step on one feature's weights, and the features take turns.
+        With ``learn`` each batch is a gradient step on the weights of all features.
         """
         s = self.lexicon.settings
         out = np.zeros(len(at))
         for lo in range(0, len(at), s.step):
-            turn = None
-            if learn:
-                turn, self.turn = self.turn, (self.turn + 1) % len(features)
             place, rows = at[lo : lo + s.step], features[:, lo : lo + s.step]
             own = place < s.own
             group = np.where(own, place // s.members, s.classes + place - s.own)
-            got = self._pass(0, rows, self.lexicon.outer_bias, group, turn)
+            got = self._pass(0, rows, self.lexicon.outer_bias, group, learn)
             if own.any():
                 inside, k = rows[:, own], group[own]
                 hashed = _mix(inside * s.classes + k, s.inner)
-                got[own] += self._pass(1, hashed, self.lexicon.inner_bias[k], place[own] % s.members, turn)
+                got[own] += self._pass(1, hashed, self.lexicon.inner_bias[k], place[own] % s.members, learn)
             out[lo : lo + s.step] = got
         return out
 

@@ -356,6 +356,23 @@ def test_op10_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-5
 
 
+def test_op10_every_step_trains_every_feature():
+    import pyarrow as pa
+
+    s = maxent_lm.Settings(frequent=100, classes=2, members=4, tails=3, pairs=16, inner=32)
+    rows = [(w, c) for w, c in zip("the of and to in a is it".split(), range(40, 32, -1))] + [(maxent_lm.END, 9)]
+    lexicon = maxent_lm.Lexicon(s, rows, sum(c for _, c in rows), len(rows), {maxent_lm.tail_of(maxent_lm.END, 3): (9, 1)})
+    model = maxent_lm.Model(lexicon, tuple(np.zeros(x, np.float32) for x in s.shapes()))
+    _, _, _, _, at, features = model.batch(pa.array(["the of and to in a is it the of"]))
+    assert len(at) < s.step
+    model.run(at, features, True)
+    for rows in features:
+        assert model.weights[0][rows].any(1).all()
+    own = at < s.own
+    hashed = maxent_lm._mix(features[:, own] * s.classes + at[own] // s.members, s.inner)
+    assert model.weights[1][hashed].any(2).all()
+
+
 def test_encoder_matches_the_tokenizer():
     import random
 
