@@ -66,6 +66,21 @@ def test_op1_a_text_of_many_notices():
     assert [(r[0], r[6], r[7]) for r in got] == [("CC-BY-NC-4.0 notice", k * len(line) + 2, k * len(line) + 29) for k in range(3000)]
 
 
+def test_op1_short_notices_line_after_line():
+    index = license_scan.Index((("short", "Released under the MIT License"),))
+    hits = index.scan(b"Released under the MIT License.\n" * 30)
+    assert [(h[1], h[4], h[5]) for h in hits] == [(1.0, 5 * k, 5 * k + 4) for k in range(30)]
+
+
+def test_op1_a_text_split_by_an_insertion():
+    index = license_scan.Index((("long", " ".join(f"w{k}" for k in range(100))), ("short", "Released under the MIT License")))
+    words = [f"w{k}" for k in range(100)]
+    inside = ["footer"] * 30 + "Released under the MIT License".split() + ["page"] * 30
+    hits = index.scan(" ".join(words[:50] + inside + words[50:]).encode())
+    assert [h[:6] for h in hits] == [("long", 1.0, 100, 100, 0, 164), ("short", 1.0, 5, 5, 80, 84)]
+    assert index.scan(" ".join(words[50:] + inside[:30] + words[:50]).encode()) == []
+
+
 def test_op1_winnowing_meets_every_shared_run():
     rng = np.random.default_rng(0)
     for _ in range(50):
