@@ -83,32 +83,45 @@ def argument_errors(tool: Column, json: Column, schemas: dict[str, dict[str, Any
     return F.when(keys.isNull(), F.array(F.lit("not a JSON object"))).otherwise(out)
 
 
-def _levels(calls: DataFrame, most: int) -> DataFrame:
-    """Kahn's rounds over calls (conv, call_id, after): conv, call_id, level; no row for calls in a cycle."""
+#: So many rounds' results are written as one table, which keeps the plan of their union small.
+_ROUNDS = 64
+
+
+def _levels(calls: DataFrame, most: int | None = None) -> DataFrame:
+    """Kahn's rounds over calls (conv, call_id, after): conv, call_id, level; no row for calls in a cycle.
+
+    Rounds go on until none is free. Past ``most`` levels an error is raised.
+    """
     edges = staged(calls.select("conv", "call_id", F.explode("after").alias("on")).join(calls.select("conv", F.col("call_id").alias("on")), ["conv", "on"], "left_semi").distinct(), "after")
-    waiting, done = staged(calls.select("conv", "call_id").distinct(), "waiting"), None
-    for level in range(most):
+    waiting, done, level = staged(calls.select("conv", "call_id").distinct(), "waiting"), None, 0
+    while True:
         held = edges.join(waiting.select("conv", F.col("call_id").alias("on")), ["conv", "on"], "left_semi").select("conv", "call_id").distinct()
         free = staged(waiting.join(held, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(level)), "free")
         done = free if done is None else done.unionByName(free)
         if free.isEmpty():
             return done
+        if most is not None and level >= most:
+            raise RuntimeError(f"calls depend on each other over more than {most} levels")
         waiting = staged(waiting.join(free, ["conv", "call_id"], "left_anti"), "waiting")
-    return done
+        level += 1
+        if level % _ROUNDS == 0:
+            done = staged(done, "levels")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, Any]], most_levels: int = 1000) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, Any]], most_levels: int | None = None) -> DataFrame:
     """calls: conv, call_id, position, tool, arguments (JSON), after (array of call_ids); results: conv, call_id, position, content.
 
     One row per call and one per result that goes with none.  Columns: conv, call_id, tool, position,
     result_position, status, place (topological, from 0 in its conversation; null for what isn't a call that
     counts), errors (array), valid, canonical (JSON with arguments, id, name, result).
 
-    status: linked; unanswered; early (its result stands before it); cyclic (waits for itself);
+    status: linked; unanswered; early (its result stands before it); cyclic (waits for itself, or for a call that does);
     duplicate_call (a call of that id came before, which alone counts); orphan (a result without call);
     duplicate_result (the call has an earlier one).  Calls or results without conv or identifier link to
     nothing: unanswered or orphan, each a row.  Equal positions are settled by content.  Arguments that
     aren't a JSON object are invalid and have no canonical form.  Other columns are not read.
+
+    Chains of any length are followed; with ``most_levels`` a longer one is an error.
     """
     a = calls.select("conv", "call_id", "position", "tool", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"))
     r = results.select("conv", "call_id", "position", "content")

@@ -215,6 +215,19 @@ def test_op7(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_op7_a_late_chain_is_no_cycle(spark, monkeypatch):
+    monkeypatch.setattr(tool_calls, "_ROUNDS", 2, raising=False)
+    names = "abcdef"
+    rows = [(1, c, 10 - k, "f", "{}", [names[k - 1]] if k else []) for k, c in enumerate(names)]
+    calls = spark.createDataFrame(rows, "conv long, call_id string, position long, tool string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv long, call_id string, position long, content string")
+    got = tool_calls.link(calls, results, {"f": {}}).collect()
+    assert sorted((r.call_id, r.status, r.place) for r in got) == [(c, "unanswered", k) for k, c in enumerate(names)]
+    assert tool_calls.link(calls, results, {"f": {}}, most_levels=6).where("place is not null").count() == 6
+    with pytest.raises(RuntimeError, match="levels"):
+        tool_calls.link(calls, results, {"f": {}}, most_levels=5)
+
+
 def test_op7_messages(spark):
     rows = [(1, 0, "assistant", '{"tool_calls":[{"id":"u","name":"f","arguments":{"b":3,"a":[1, 2]},"after":["k"]},{"id":"k","name":"f","arguments":{}}]}'), (1, 1, "tool", '{"tool_call_id":"u","content":"done"}'), (1, 2, "user", "hi"), (1, 3, "assistant", None), (None, None, None, "{}")]
     calls, results = tool_calls.from_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
