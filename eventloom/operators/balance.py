@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,14 +14,14 @@ from ..functions.ranking import grouped_rank, running
 def round_robin(decided: DataFrame, apps: DataFrame, order: list[str | Column], groups: list[str] | None = None) -> DataFrame:
     """Assigns in turn over apps in order of name; the cursor moves before it is used, so the first decision goes to the second app.
 
-    There is a row per app, and as many as a run has machines: they are numbered by the driver.
+    Apps are numbered by a rank of their names and joined; only their count goes to the driver.
     """
-    names = sorted(r["connection_name"] for r in apps.select("connection_name").distinct().collect())
-    if not names:
+    n = apps.select("connection_name").distinct().count()
+    if not n:
         return decided.withColumns({"nth": F.lit(None).cast("long"), "connection_name": F.lit(None).cast("string")}).limit(0)
     ranked = grouped_rank(decided, groups or [], order, "_rank").withColumn("nth", F.col("_rank") + 1).drop("_rank")
-    table = decided.sparkSession.createDataFrame(list(enumerate(names)), "_app long, connection_name string")
-    return ranked.withColumn("_app", F.col("nth") % len(names)).join(F.broadcast(table), "_app").drop("_app")
+    table = grouped_rank(apps.select("connection_name").distinct(), [], ["connection_name"], "_app")
+    return ranked.withColumn("_app", F.col("nth") % n).join(table, "_app").drop("_app")
 
 
 def occupancy(changes: DataFrame) -> DataFrame:
@@ -48,15 +48,29 @@ def hysteresis(batches: Iterator[pd.DataFrame], busy: int, free: int) -> Iterato
         yield rows.assign(busy=out)
 
 
-def latencies(completions: DataFrame, most: int = 1000) -> DataFrame:
-    """completions: app, completed, latency_us, trigger_number. Per app: n, min, max, average of the newest ``most``.
+def latencies(completions: DataFrame, most: int = 1000, since: int | Column | None = None) -> DataFrame:
+    """completions: app, completed, latency_us, trigger_number. Per app: n, min, max, average of those of the newest ``most`` that completed at ``since`` or later.
 
-    An app without completions has no row, so nothing is divided by zero.
+    An app without completions has no row, and one without any since then has no average, so nothing is divided by zero.
     """
     newest = grouped_rank(completions, ["app"], [F.desc("completed"), F.desc("trigger_number")], "_rank").where(F.col("_rank") < most)
+    if since is not None:
+        newest = newest.where(F.col("completed") >= since)
     recent = newest.groupBy("app").agg(F.expr("sum(latency_us) div count(*)").alias("average_latency_us"))
     whole = completions.groupBy("app").agg(F.count("*").alias("n"), F.min("latency_us").alias("min_latency_us"), F.max("latency_us").alias("max_latency_us"))
-    return whole.join(recent, "app")
+    return whole.join(recent, "app", "left")
+
+
+def used_slots(occupied: DataFrame, apps: DataFrame, at: int, busy: int) -> DataFrame:
+    """The pool at a time, one row: used_slots, all_busy (true where there is no app), is_empty.
+
+    occupied: rows of ``occupancy``, whose newest row of each app up to ``at`` counts. apps: app, a row each.
+    """
+    now = occupied.where(F.col("time") <= at).groupBy("app").agg(F.max_by("slots", F.struct("time", "delta", "trigger_number")).alias("_slots"))
+    each = apps.select("app").distinct().join(now, "app", "left").select(F.coalesce("_slots", F.lit(0).cast("long")).alias("s"))
+    return each.agg(
+        F.coalesce(F.sum("s"), F.lit(0)).alias("used_slots"), F.coalesce(F.bool_and(F.col("s") >= busy), F.lit(True)).alias("all_busy"), F.coalesce(F.bool_and(F.col("s") == 0), F.lit(True)).alias("is_empty")
+    )
 
 
 def capacity(latency: DataFrame, busy: int, free: int) -> DataFrame:
@@ -71,14 +85,21 @@ def remnants(assigned: DataFrame, completed: DataFrame) -> DataFrame:
 
 
 def lag_inhibit(marks: DataFrame, groups: list[str], order: list[str], threshold: int) -> DataFrame:
-    """marks: started, ended (each null where the row isn't of that kind). Rows at which the inhibit turns on or off.
+    """marks: started, ended (each null where the row isn't of that kind). Every row with ``lag``, ``busy``, and ``turned`` where busy differs from before it.
 
-    On iff the latest started isn't below the latest ended and leads by the threshold or more.
+    On iff the latest started isn't below the latest ended and leads by the threshold or more; off before the first row.
     """
-    at = running(marks, groups, order, {"latest_started": ("max", "started"), "latest_ended": ("max", "ended")})
-    lead = F.coalesce("latest_started", F.lit(0)) - F.coalesce("latest_ended", F.lit(0))
-    busy = (lead >= 0) & (lead >= threshold)
-    return at.withColumn("lag", lead).withColumn("busy", busy)
+    at = running(marks, groups, order, {"latest_started": ("max", "started"), "latest_ended": ("max", "ended"), "_started": ("max_before", "started"), "_ended": ("max_before", "ended")})
+    lead = lambda a, b: F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0))
+    busy = lambda x: (x >= 0) & (x >= threshold)
+    now, before = lead("latest_started", "latest_ended"), lead("_started", "_ended")
+    known = F.col("_started").isNotNull() | F.col("_ended").isNotNull()
+    return at.withColumns({"lag": now, "busy": busy(now), "turned": busy(now) != (known & busy(before))}).drop("_started", "_ended")
+
+
+def inhibit_edges(marks: DataFrame, groups: list[str], order: list[str], threshold: int) -> DataFrame:
+    """The rows at which the inhibit turns on or off, which are the messages that are sent."""
+    return lag_inhibit(marks, groups, order, threshold).where("turned").drop("turned")
 
 
 class Balancer:
@@ -156,20 +177,23 @@ class Balancer:
         return "completed"
 
 
-def balanced(events: DataFrame, apps: list[str], busy: int, free: int | None = None) -> DataFrame:
+def balanced(events: DataFrame, apps: list[str], busy: int, free: int | None = None, policy: Callable[[], Balancer] | None = None) -> DataFrame:
     """events: run_number, time, kind (0 completion, 1 decision), trigger_number. Decisions with app, outcome, slots.
 
+    ``policy`` makes a run's own balancer, as a class derived from ``Balancer`` with another ``find`` or ``is_busy``.
+
     A run has one orchestrator, whose next choice depends on all before: its events go in order through one
     task as a stream, with state only for what is outstanding.  Runs spread over tasks.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make = policy or (lambda: Balancer(apps, busy, free))
         run, state, where = None, None, {}
         for rows in batches:
             out = []
             for r, t, kind, trigger in rows.itertuples(index=False):
                 if r != run:
-                    run, state, where = r, Balancer(apps, busy, free), {}
+                    run, state, where = r, make(), {}
                 if kind == 0:
                     if trigger in where:
                         state.complete(where.pop(trigger), trigger)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import grouped_rank
 from ..functions.scalars import crop, overlaps
 
+#: What tells decisions apart: a trigger number may come again in another run.
+DECISION = ["run_number", "trigger_number"]
+
 
 def of_run(df: DataFrame, run: int | Column) -> DataFrame:
     """Rows of the current run; ``foreign`` has the others. A null run number is foreign."""
@@ -17,6 +21,12 @@ def foreign(df: DataFrame, run: int | Column) -> DataFrame:
     return df.where(~F.col("run_number").eqNullSafe(run))
 
 
+def filter_counts(df: DataFrame, run: int | Column, kept: str = "kept", dropped: str = "dropped") -> DataFrame:
+    """One row: how many rows are of the run, and how many are foreign, so that what a filter drops is counted."""
+    own = F.col("run_number").eqNullSafe(run)
+    return df.agg(F.count(F.when(own, 1)).alias(kept), F.count(F.when(~own, 1)).alias(dropped))
+
+
 def type_bits(mask: Column) -> Column:
     """Positions of the set bits, 0 to 63; none for null."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(mask, i) == 1)
@@ -28,13 +38,13 @@ def by_type(df: DataFrame, mask: str = "trigger_type") -> DataFrame:
     return df.withColumn("type", F.explode(type_bits(F.col(mask))))
 
 
-def extents(requests: DataFrame) -> DataFrame:
+def extents(requests: DataFrame, decision: list[str] = DECISION) -> DataFrame:
     """Earliest begin, latest end and width of each decision's requests."""
-    each = requests.groupBy("trigger_number").agg(F.min("window_begin").alias("extent_begin"), F.max("window_end").alias("extent_end"))
+    each = requests.groupBy(*decision).agg(F.min("window_begin").alias("extent_begin"), F.max("window_end").alias("extent_end"))
     return each.withColumn("width", F.col("extent_end") - F.col("extent_begin"))
 
 
-def slices(extent: DataFrame, max_window: int) -> DataFrame:
+def slices(extent: DataFrame, max_window: int, decision: list[str] = DECISION) -> DataFrame:
     """Cuts each extent into sequences of at most ``max_window`` ticks (0: none).
 
     The last sequence number is (width - 1) div window; a decision without width has one sequence.
@@ -43,23 +53,23 @@ def slices(extent: DataFrame, max_window: int) -> DataFrame:
     rows = extent.withColumn("max_sequence_number", most.cast("long")).withColumn("sequence_number", F.explode(F.sequence(F.lit(0).cast("long"), "max_sequence_number")))
     begin = F.col("extent_begin") + F.col("sequence_number") * max_window
     end = F.least(begin + max_window, F.col("extent_end")) if max_window > 0 else F.col("extent_end")
-    return rows.select("trigger_number", "sequence_number", "max_sequence_number", begin.alias("slice_begin"), end.alias("slice_end"))
+    return rows.select(*decision, "sequence_number", "max_sequence_number", begin.alias("slice_begin"), end.alias("slice_end"))
 
 
-def data_requests(sliced: DataFrame, requests: DataFrame) -> DataFrame:
+def data_requests(sliced: DataFrame, requests: DataFrame, decision: list[str] = DECISION) -> DataFrame:
     """Each slice's requests, cropped to it.  Ends are closed: a window that ends on a bound is in both slices.
 
-    The join is on the trigger, so the overlap is only a filter within one decision.
+    The join is on the decision, so the overlap is only a filter within one.
     """
     window, bounds = (F.col("window_begin"), F.col("window_end")), (F.col("slice_begin"), F.col("slice_end"))
-    met = sliced.join(requests, "trigger_number").where(overlaps(*window, *bounds))
+    met = sliced.join(requests, decision).where(overlaps(*window, *bounds))
     begin, end = crop(*window, *bounds)
-    return met.select("trigger_number", "sequence_number", "source_id", begin.alias("window_begin"), end.alias("window_end"))
+    return met.select(*decision, "sequence_number", "source_id", begin.alias("window_begin"), end.alias("window_end"))
 
 
 def duplicates(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
-    """Adds ``is_duplicate``: all rows of a key but the first in order."""
-    return df.withColumn("is_duplicate", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) > 1)
+    """Adds ``is_duplicate``: all rows of a key but the first in order. A key may hold any share of the rows."""
+    return grouped_rank(df, key, order, "_nth").withColumn("is_duplicate", F.col("_nth") > 0).drop("_nth")
 
 
 def routed(requests: DataFrame, routes: DataFrame) -> DataFrame:

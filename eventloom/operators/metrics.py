@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decisions import by_type
@@ -28,6 +28,26 @@ def builder_errors(records: DataFrame, unexpected: DataFrame, runs: DataFrame, i
     return out.na.fill(0, ["unexpected_fragments", "invalid_requests"])
 
 
+def builder_counters(decided: DataFrame, run: Column, timed: DataFrame, samples: DataFrame, runs: DataFrame) -> DataFrame:
+    """The builder's error and monitor counters by run.
+
+    decided: run_number (as the decision says), builder_run (of the builder it reached), trigger_number; what is of another
+    run is unexpected, and a trigger that comes again in its run is a duplicate.  timed: run_number, timed_out, late.
+    samples: builder_run, run_number, trigger_number (null where no record was sent): all requests count, those of
+    another run are ignored.
+    """
+    own = F.col("run_number").eqNullSafe(run)
+    first = decided.where(own).groupBy("builder_run", "trigger_number").agg((F.count("*") - 1).alias("again")).groupBy("builder_run").agg(F.sum("again").alias("duplicated_trigger_ids"))
+    odd = decided.groupBy("builder_run").agg(F.count(F.when(~own, 1)).alias("unexpected_trigger_decisions"))
+    slow = timed.groupBy(F.col("run_number").alias("builder_run")).agg(F.count(F.when(F.col("timed_out"), 1)).alias("timed_out_trigger_records"), F.sum("late").alias("late_fragments"))
+    asked = samples.groupBy("builder_run").agg(F.count("*").alias("received_trmon_requests"), F.count(F.when(own, F.col("trigger_number"))).alias("sent_trmon"))
+    out = runs.select(F.col("run_number").alias("builder_run")).distinct()
+    for part in (odd, first, slow, asked):
+        out = out.join(part, "builder_run", "left")
+    counters = [c for c in out.columns if c != "builder_run"]
+    return out.na.fill(0, counters).withColumnRenamed("builder_run", "run_number")
+
+
 def orchestrator_info(decided: DataFrame, sent: DataFrame, completed: DataFrame) -> DataFrame:
     a = decided.groupBy("run_number").agg(F.count("*").alias("decisions_received"))
     b = sent.groupBy("run_number").agg(F.count("*").alias("decisions_sent"))
@@ -54,8 +74,9 @@ def writer_info(prescaled: DataFrame, size: str) -> DataFrame:
 
 
 def store_info(filled: DataFrame, size: str) -> DataFrame:
-    """written_files is the index of the last file, as the file counter is: 0 while on the first."""
-    return filled.groupBy("run_number").agg(F.count("*").alias("new_written_object"), F.sum(size).alias("new_bytes_output"), F.max("file_index").alias("written_files"))
+    """written_files is the index of the last file, as the file counter is: 0 while on the first; bytes_in_file are those of the last file."""
+    files = filled.groupBy("run_number", "file_index").agg(F.count("*").alias("n"), F.sum(size).alias("b"))
+    return files.groupBy("run_number").agg(F.sum("n").alias("new_written_object"), F.sum("b").alias("new_bytes_output"), F.max("file_index").alias("written_files"), F.max_by("b", "file_index").alias("bytes_in_file"))
 
 
 def stream_info(tps: DataFrame, sliced: DataFrame) -> DataFrame:
@@ -67,6 +88,14 @@ def stream_info(tps: DataFrame, sliced: DataFrame) -> DataFrame:
     return a.join(b, "run_number", "left")
 
 
+def scrapes(rows: DataFrame, groups: list[str], scrape: Column, values: dict[str, Column]) -> DataFrame:
+    """What each scrape interval adds to counters, one row per group and interval: the deltas of any message's totals.
+
+    values: counter -> what a row adds to it.
+    """
+    return rows.groupBy(*groups, scrape.alias("scrape")).agg(*[F.sum(v).alias(c) for c, v in values.items()])
+
+
 def deltas(cumulative: DataFrame, groups: list[str], order: str, values: list[str]) -> DataFrame:
     """What counters grew by since the scrape before; the first scrape counts whole. One row per scrape and group."""
     from pyspark.sql import Window

@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.ranking import grouped_rank
-from ..sources.scratch import staged
+from ..functions.ranking import _ROW, _laid, first_rows, grouped_rank, running
 from ..sources.tables import RunConfig
 
+#: Records whose sizes are packed into one array when files are filled.
+CHUNK = 1024
+
 
 def prescaled(records: DataFrame, groups: list[str], order: list[str | Column], prescale: int) -> DataFrame:
     """Adds ``nth`` (from 1, by arrival in the group) and ``is_stored``: the first and every ``prescale``-th after it."""
@@ -21,6 +22,15 @@ def prescaled(records: DataFrame, groups: list[str], order: list[str | Column],
     return out.withColumn("is_stored", F.lit(True) if prescale <= 1 else F.col("nth") % prescale == 1)
 
 
+def prescaled_of_run(records: DataFrame, run: int, order: list[str | Column], prescale: int) -> DataFrame:
+    """A writer's records, prescaled by arrival and then cut to its run: records of another run count as received and move the prescale on, but aren't stored.
+
+    Adds ``nth``, ``is_stored`` and ``is_foreign``.
+    """
+    out = prescaled(records, [], order, prescale).withColumn("is_foreign", ~F.col("run_number").eqNullSafe(run))
+    return out.withColumn("is_stored", F.col("is_stored") & ~F.col("is_foreign"))
+
+
 def sequences(records: DataFrame) -> DataFrame:
     """records: trigger_number, max_sequence_number, a row per sequence written. One row per trigger, with ``has_token``."""
     out = records.groupBy("trigger_number").agg(F.count("*").alias("n_written"), F.max("max_sequence_number").alias("max_sequence_number"))
@@ -36,99 +46,81 @@ def per_event_files(records: DataFrame, groups: list[str], order: list[str]) ->
     """One file for each trigger: ``file_index`` counts triggers in order from 0. Ranks of distinct triggers, so a hot run is split."""
     triggers = records.groupBy(*groups, "trigger_number").agg(*[F.min(c).alias(c) for c in order if c not in (*groups, "trigger_number")])
     ranked = grouped_rank(triggers, groups, [*order] if "trigger_number" in order else [*order, "trigger_number"], "file_index")
-    return records.join(ranked.select(*groups, "trigger_number", "file_index"), [*groups, "trigger_number"])
+    keys = [*groups, "trigger_number"]
+    named = ranked.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(keys)], "file_index")
+    met = F.lit(True)
+    for k, c in enumerate(keys):
+        met = met & records[c].eqNullSafe(named[f"_g{k}"])
+    return records.join(named, met).drop(*[f"_g{k}" for k in range(len(keys))])
+
 
+def fill(sizes: np.ndarray, most: int, held: int) -> tuple[list[int], int]:
+    """Places at which a file opens, and bytes in the last file, when ``sizes`` follow ``held`` bytes.
 
-def fill(sizes: np.ndarray, most: int, held: int) -> tuple[int, int]:
-    """Files opened, and bytes in the last, when ``sizes`` follow ``held`` bytes: a file is closed when it holds something and the next doesn't fit."""
+    A file is closed when it holds something and the next record doesn't fit.  One search for each file, whatever it holds.
+    """
     ends = np.cumsum(sizes)
-    at, files, base = 0, 0, -held
-    n = len(sizes)
+    n, at, base, opened = len(sizes), 0, -held, []
     while at < n:
         # the first record that doesn't fit what is open
         k = int(np.searchsorted(ends, base + most, "right"))
-        if k >= n:
-            break
         begin = int(ends[k - 1]) if k else 0
-        if begin == base:
+        if k < n and begin == base:
             # alone in its file and too large: it stays, and the next one opens a file
             k += 1
-            if k >= n:
-                break
             begin = int(ends[k - 1])
-        files, base, at = files + 1, begin, k
-    return files, int(ends[-1] - base) if n else held
+        if k >= n:
+            break
+        opened.append(k)
+        base, at = begin, k
+    return opened, int(ends[-1] - base) if n else held
 
 
-def _summary(sizes: np.ndarray, most: int) -> list[tuple[int, int, int]]:
-    """fill() for every number of bytes held before: (held from, files, bytes in the last; -1: held and all sizes).
+def rollover(records: DataFrame, groups: list[str], order: list[str], size: str, most: int, start: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Adds ``file_index`` in each writer: greedy filling in order, no record split, the first always fits.
 
-    The outcome changes only where a record stops fitting, so there is a row for each record that can be the
-    first not to fit, and neighbours with one outcome are merged.
+    ``start``: index of the file that is open, and the bytes in it.  Filling is sequential by nature, but only the sizes
+    take part: a writer's sizes, packed into arrays of ``CHUNK`` records, pass through one task as a stream of 8
+    bytes a record, an array at a time, and give where files open.  Each record then counts the openings up to it in
+    its own array, side by side.  No record but its size meets another in a task.
     """
-    ends = np.cumsum(sizes)
-    starts = {0, 1}
-    for e in ends[: int(np.searchsorted(ends, most, "right")) + 1]:
-        starts.add(max(0, most - int(e) + 1))
-    out: list[tuple[int, int, int]] = []
-    for held in sorted(starts):
-        files, rest = fill(sizes, most, held)
-        row = (held, files, -1 if files == 0 else rest)
-        if not out or out[-1][1:] != row[1:]:
-            out.append(row)
-    return out
-
-
-def rollover(records: DataFrame, groups: list[str], order: list[str], size: str, most: int) -> DataFrame:
-    """Adds ``file_index`` (from 0 in each writer): greedy filling in order, no record split, the first always fits.
-
-    Filling is sequential by nature, but a stretch of records sums up to a small step function of the bytes
-    held before it.  So range-partitioned stretches are summed up side by side, the summaries (a few rows
-    for each stretch) are chained in order, and the stretches are then filled side by side, each from where
-    it starts.  No writer's records meet in one task.
+    name = F.to_json(F.struct(*groups)) if groups else F.lit("")
+    sized = records.withColumns({"_size": F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")), "_writer": name})
+    laid = _laid(sized, groups, order, "rollover").withColumn("_chunk", F.expr(f"(_at & {_ROW}) div {CHUNK}"))
+    key = ["_writer", "_part", "_chunk"]
+    packed = laid.groupBy(*key).agg(F.min("_at").alias("_first"), F.sort_array(F.collect_list(F.struct("_at", "_size"))).alias("_s")).select(*key, "_first", F.col("_s._size").alias("_sizes"))
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        writer, index, held = None, 0, 0
+        for rows in batches:
+            out = []
+            for w, part, chunk, first, sizes in rows.itertuples(index=False):
+                if w != writer:
+                    writer, (index, held) = w, start
+                opened, held = fill(np.asarray(sizes, np.int64), most, held)
+                out.append((w, part, chunk, index, [first + k for k in opened]))
+                index += len(opened)
+            yield pd.DataFrame(out, columns=[*key, "_files", "_opened"])
+
+    streamed = packed.repartition("_writer").sortWithinPartitions("_writer", "_first")
+    starts = streamed.mapInPandas(chain, "_writer string, _part long, _chunk long, _files long, _opened array<long>")
+    index = F.col("_files") + F.size(F.filter("_opened", lambda x: x <= F.col("_at")))
+    return laid.join(starts, key).withColumn("file_index", index).drop("_at", "_size", "_first", "_files", "_opened", *key)
+
+
+def event_files(records: DataFrame, groups: list[str], order: list[str], size: str, most: int) -> DataFrame:
+    """One file for each trigger, and further ones where a trigger's records don't fit: size rollover and a new event open files alike.
+
+    Triggers go by their first record in ``order``; ``file_index`` counts from 0 in each writer.
     """
-    laid = staged(
-        records.withColumn("_size", F.col(size).cast("long")).repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order).withColumn("_at", F.monotonically_increasing_id()),
-        "rollover",
-    ).withColumn("_part", F.shiftright("_at", 33))
-    keys = T.StructType([laid.schema[g] for g in groups])
-
-    def sum_up(rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = rows.sort_values("_at")["_size"].to_numpy(np.int64)
-        steps = pd.DataFrame(_summary(sizes, most), columns=["_held", "_files", "_rest"])
-        for g in [*groups, "_part"]:
-            steps[g] = rows[g].iloc[0]
-        return steps.assign(_bytes=int(sizes.sum()))[[*groups, "_part", "_held", "_files", "_rest", "_bytes"]]
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        out, files, held = [], 0, 0
-        for part, steps in rows.sort_values(["_part", "_held"]).groupby("_part", sort=True):
-            out.append((part, files, held))
-            step = steps[steps["_held"] <= held].iloc[-1]
-            files += int(step["_files"])
-            held = int(held + step["_bytes"] if step["_rest"] < 0 else step["_rest"])
-        first = pd.DataFrame(out, columns=["_part", "_files", "_held"])
-        for g in groups:
-            first[g] = rows[g].iloc[0]
-        return first[[*groups, "_part", "_files", "_held"]]
-
-    def number(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_at")
-        held, at = int(rows["_held"].iloc[0]), int(rows["_files"].iloc[0])
-        out = np.empty(len(rows), np.int64)
-        for k, s in enumerate(rows["_size"]):
-            if held > 0 and held + s > most:
-                at, held = at + 1, 0
-            out[k] = at
-            held += s
-        return rows.assign(file_index=out)[["_at", "file_index"]]
-
-    longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
-    steps = laid.select(*groups, "_part", "_at", "_size").groupBy(*groups, "_part").applyInPandas(sum_up, T.StructType([*keys.fields, *longs("_part", "_held", "_files", "_rest", "_bytes")]))
-    starts = steps.groupBy(*groups).applyInPandas(chain, T.StructType([*keys.fields, *longs("_part", "_files", "_held")]))
-    small = laid.select(*groups, "_part", "_at", "_size").join(starts, [*groups, "_part"])
-    numbers = small.groupBy(*groups, "_part").applyInPandas(number, T.StructType(longs("_at", "file_index")))
-    return laid.join(numbers, "_at").drop("_at", "_part", "_size")
+    own = rollover(records, [*groups, "trigger_number"], order, size, most).withColumnRenamed("file_index", "_own")
+    triggers = own.groupBy(*groups, "trigger_number").agg(F.min(F.struct(*order)).alias("_first"), (F.max("_own") + 1).alias("_n"))
+    before = running(triggers, groups, ["_first", "trigger_number"], {"_upto": ("sum", "_n")})
+    before = before.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate([*groups, "trigger_number"])], (F.col("_upto") - F.col("_n")).alias("_before"))
+    met = F.lit(True)
+    for k, g in enumerate([*groups, "trigger_number"]):
+        met = met & own[g].eqNullSafe(before[f"_g{k}"])
+    return own.join(before, met).withColumn("file_index", F.col("_before") + F.col("_own")).drop("_own", "_before", *[f"_g{k}" for k in range(len(groups) + 1)])
 
 
 def file_sizes(filled: DataFrame, groups: list[str], size: str) -> DataFrame:
@@ -157,5 +149,4 @@ def retry_waits(attempts: DataFrame, config: RunConfig) -> DataFrame:
 
 def once(slices: DataFrame, written: DataFrame, key: list[str]) -> DataFrame:
     """Slices not written yet: the first of each key, without keys that are there already."""
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("seqno"))
-    return slices.withColumn("_n", nth).where("_n = 1").drop("_n").join(written.select(*key), key, "left_anti")
+    return first_rows(slices, key, ["seqno"]).join(written.select(*key), key, "left_anti")

@@ -461,7 +461,8 @@ filled AS (SELECT trigger_number, run_number, record_bytes, n, 0::BIGINT AS file
   UNION ALL SELECT o.trigger_number, o.run_number, o.record_bytes, o.n, f.file_index + CASE WHEN f.held > 0 AND f.held + o.record_bytes > 1000000 THEN 1 ELSE 0 END,
     CASE WHEN f.held > 0 AND f.held + o.record_bytes > 1000000 THEN o.record_bytes ELSE f.held + o.record_bytes END
   FROM filled f JOIN ordered o ON o.run_number = f.run_number AND o.n = f.n + 1)
-SELECT run_number, count(*) AS new_written_object, sum(record_bytes)::BIGINT AS new_bytes_output, max(file_index) AS written_files FROM filled GROUP BY run_number
+SELECT run_number, sum(n)::BIGINT AS new_written_object, sum(b)::BIGINT AS new_bytes_output, max(file_index) AS written_files, arg_max(b, file_index) AS bytes_in_file
+FROM (SELECT run_number, file_index, count(*) AS n, sum(record_bytes)::BIGINT AS b FROM filled GROUP BY ALL) GROUP BY run_number
 """,
     "tp_writer_info": """
 WITH RECURSIVE primitives AS (SELECT event_id AS seqno, year(ts) AS run_number, user_id AS origin, epoch_us(ts) AS time_start, CASE WHEN event_type = 'signup' THEN 'heartbeat' ELSE 'payload' END AS type FROM events),
@@ -523,3 +524,110 @@ WITH RECURSIVE primitives AS (SELECT event_id AS seqno, year(ts) AS run_number,
 SELECT time_start // 3600000000 AS slice_index, origin, count(*) AS n_tps, min(time_start) AS first_time, max(time_start) AS last_time FROM primitives WHERE type <> 'heartbeat' GROUP BY ALL
 """,
 }
+
+_DECISIONS = """decisions AS (SELECT o_orderkey AS trigger_number, year(o_orderdate) AS run_number, epoch_us(o_orderdate) AS trigger_timestamp,
+  ((1::BIGINT << (substr(o_orderpriority, 1, 1)::INT - 1)) | CASE WHEN o_orderstatus = 'F' THEN 32 ELSE 0 END) AS trigger_type, o_custkey AS customer FROM orders)"""
+_FRAGMENTS = """fragments AS (SELECT l_orderkey AS trigger_number, l_linenumber::BIGINT AS source_id, trunc(l_quantity * 1000)::BIGINT AS size_bytes, epoch_us(l_shipdate) AS arrival,
+  l_partkey AS part, l_suppkey AS supplier FROM lineitem)"""
+_COMPLETIONS = """completions AS (SELECT d.*, 'app-' || (customer % 10) AS app, (1 + trigger_number % 10) * 86400000000 AS latency_us, trigger_timestamp + (1 + trigger_number % 10) * 86400000000 AS completed
+  FROM decisions d WHERE trigger_number IN (SELECT trigger_number FROM fragments))"""
+_RUN_KEYED = f"""WITH {_DECISIONS}, {_FRAGMENTS},
+keyed AS (SELECT trigger_number % 3 AS run_number, trigger_number // 3 AS trigger_number, trigger_timestamp FROM decisions),
+requests AS (SELECT run_number, trigger_number, source_id, trigger_timestamp - 10 * source_id AS wb, trigger_timestamp + 100 * source_id AS we
+  FROM (SELECT *, unnest(generate_series(1::BIGINT, 1 + trigger_number % 7)) AS source_id FROM keyed)),
+extents AS (SELECT run_number, trigger_number, min(wb) AS b, max(we) AS e FROM requests GROUP BY ALL),
+slices AS (SELECT *, b + s * 250 AS sb, least(b + s * 250 + 250, e) AS se FROM (SELECT *, unnest(generate_series(0::BIGINT, (e - b - 1) // 250)) AS s FROM extents)),
+asked AS (SELECT r.run_number, r.trigger_number, s AS sequence_number, source_id FROM slices z JOIN requests r ON r.run_number = z.run_number AND r.trigger_number = z.trigger_number AND wb <= se AND we >= sb),
+came AS (SELECT trigger_number % 3 AS run_number, trigger_number // 3 AS trigger_number, part % 4 AS sequence_number, source_id, size_bytes, arrival, part, supplier FROM fragments)"""
+_TIMED = f"""WITH {_DECISIONS}, {_FRAGMENTS},
+requests AS (SELECT trigger_number, trigger_timestamp AS created, unnest(generate_series(1::BIGINT, 1 + trigger_number % 7)) AS source_id FROM decisions),
+firsts AS (SELECT trigger_number, source_id, min(arrival) AS first FROM fragments GROUP BY ALL),
+each AS (SELECT trigger_number, created, count(*) AS requested, count(*) FILTER (first - created <= 5184000000000) AS received, max(first) FILTER (first - created <= 5184000000000) AS last
+  FROM requests LEFT JOIN firsts USING (trigger_number, source_id) GROUP BY ALL),
+ends AS (SELECT *, CASE WHEN received = requested THEN greatest(last, created) ELSE created + 5184000000000 END AS ended FROM each),
+lates AS (SELECT trigger_number, count(*) AS late FROM fragments SEMI JOIN requests USING (trigger_number, source_id) JOIN ends USING (trigger_number) WHERE arrival > ended GROUP BY ALL),
+timed AS (SELECT trigger_number, requested, received, requested - received AS missing, ended, received <> requested AS timed_out, coalesce(late, 0) AS late,
+  CASE WHEN received = requested THEN 'complete' WHEN received = 0 THEN 'empty' ELSE 'incomplete' END AS status FROM ends LEFT JOIN lates USING (trigger_number))"""
+_ORDERED_MARKS = f"""WITH {_DECISIONS}, {_FRAGMENTS}, {_COMPLETIONS},
+marks AS (SELECT 'app-' || (customer % 10) AS app, trigger_timestamp AS time, 0 AS kind, trigger_number AS started, NULL::BIGINT AS ended, trigger_number FROM decisions
+  UNION ALL SELECT app, completed, 1, NULL, trigger_number, trigger_number FROM completions),
+run AS (SELECT *, coalesce(max(started) OVER w, 0) - coalesce(max(ended) OVER w, 0) AS lag FROM marks WINDOW w AS (PARTITION BY app ORDER BY time, kind, trigger_number ROWS UNBOUNDED PRECEDING)),
+turned AS (SELECT *, lag >= 100 AS busy, coalesce(lag(lag >= 100) OVER (PARTITION BY app ORDER BY time, kind, trigger_number), false) AS before FROM run)"""
+_QUIET = """WITH rows AS (SELECT year(ts) AS run_number, epoch_us(ts) AS t FROM events WHERE event_type <> 'signup'),
+sliced AS (SELECT *, t // 3600000000 AS slice_index FROM rows),
+marked AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY run_number, slice_index ORDER BY t) > 600000000 THEN 1 ELSE 0 END AS opens FROM sliced),
+parts AS (SELECT *, sum(opens) OVER (PARTITION BY run_number, slice_index ORDER BY t)::BIGINT AS closing FROM marked),
+quiet AS (SELECT run_number, slice_index, closing, count(*) AS n, min(t) AS first_time, max(t) AS last_time FROM parts GROUP BY ALL)"""
+
+ORACLES |= {
+    "sliced_assembly": _RUN_KEYED
+    + """,
+per_source AS (SELECT run_number, trigger_number, sequence_number, source_id, sum(size_bytes) AS size_bytes FROM came GROUP BY ALL)
+SELECT run_number, trigger_number, sequence_number, count(*) AS requested, count(size_bytes) AS received, coalesce(sum(size_bytes), 0)::BIGINT AS record_bytes, count(*) - count(size_bytes) AS missing,
+  CASE WHEN count(size_bytes) = count(*) THEN 'complete' WHEN count(size_bytes) = 0 THEN 'empty' ELSE 'incomplete' END AS status
+FROM asked LEFT JOIN per_source USING (run_number, trigger_number, sequence_number, source_id) GROUP BY ALL
+""",
+    "record_fragments": _RUN_KEYED
+    + """,
+counted AS (SELECT run_number, trigger_number, sequence_number, count(*) AS requested FROM asked GROUP BY ALL),
+placed AS (SELECT run_number, trigger_number, sequence_number, source_id, size_bytes, row_number() OVER (PARTITION BY run_number, trigger_number, sequence_number ORDER BY arrival, part, supplier, source_id) AS nth
+  FROM came SEMI JOIN asked USING (run_number, trigger_number, sequence_number, source_id)),
+listed AS (SELECT run_number, trigger_number, sequence_number, requested, count(nth) FILTER (nth <= requested) AS received, coalesce(string_agg(source_id || ':' || size_bytes, ',' ORDER BY nth) FILTER (nth <= requested), '') AS fragments
+  FROM counted LEFT JOIN placed USING (run_number, trigger_number, sequence_number) GROUP BY ALL)
+SELECT *, requested - received AS missing, CASE WHEN received = requested THEN 'complete' WHEN received = 0 THEN 'empty' ELSE 'incomplete' END AS status FROM listed
+""",
+    "timed_records": _TIMED + " SELECT * FROM timed",
+    "stream_timeouts": _TIMED + " SELECT trigger_number, requested, received, missing, timed_out, late, status FROM timed",
+    "unexpected_decisions": f"""WITH {_DECISIONS}
+SELECT r AS run_number, count(*) FILTER (run_number = r) AS received, count(*) FILTER (run_number <> r) AS unexpected_trigger_decisions FROM decisions CROSS JOIN (VALUES (1995::BIGINT), (1997::BIGINT)) v(r) GROUP BY r
+""",
+    "tardy_sets": """WITH rows AS (SELECT ascii(l_returnflag)::BIGINT AS run_number, epoch_us(l_shipdate) // 2592000000000 AS slice_index, l_orderkey * 1000000 AS arrival FROM lineitem),
+each AS (SELECT DISTINCT run_number, slice_index, arrival FROM rows),
+nexts AS (SELECT *, lead(arrival) OVER (PARTITION BY run_number, slice_index ORDER BY arrival) AS nxt FROM each),
+ticks AS (SELECT DISTINCT run_number, arrival AS t FROM rows),
+ready AS (SELECT n.run_number, t.t, n.nxt FROM nexts n ASOF JOIN ticks t ON n.run_number = t.run_number AND n.arrival + 20000000 <= t.t),
+emitted AS (SELECT run_number, min(t) AS emitted FROM ready WHERE nxt IS NULL OR t < nxt GROUP BY run_number),
+firsts AS (SELECT run_number, emitted, min(slice_index) AS first_index FROM each JOIN emitted USING (run_number) WHERE arrival <= emitted GROUP BY ALL),
+marked AS (SELECT run_number, slice_index, coalesce(arrival > emitted AND slice_index < first_index, false) AS tardy FROM rows LEFT JOIN firsts USING (run_number))
+SELECT run_number, slice_index, count(*) FILTER (tardy) AS dropped, count(*) FILTER (NOT tardy) AS kept FROM marked GROUP BY ALL
+""",
+    "quiet_slices": _QUIET + " SELECT * FROM quiet",
+    "stream_quiet_slices": _QUIET + " SELECT run_number, slice_index, n, first_time, last_time FROM quiet",
+    "prescale_of_run": f"""WITH {_DECISIONS},
+n AS (SELECT run_number <> 1995 AS is_foreign, row_number() OVER (ORDER BY trigger_timestamp, trigger_number) AS nth FROM decisions)
+SELECT is_foreign, NOT is_foreign AND nth % 7 = 1 AS is_stored, count(*) AS n, max(nth) AS last_nth FROM n GROUP BY ALL
+""",
+    "event_files": """WITH RECURSIVE came AS (SELECT l_orderkey % 3 AS run_number, l_orderkey // 3 AS trigger_number, trunc(l_quantity * 1000)::BIGINT AS size_bytes,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
+filled AS (SELECT run_number, trigger_number, size_bytes, n, 0::BIGINT AS own, size_bytes AS held FROM came WHERE n = 1
+  UNION ALL SELECT c.run_number, c.trigger_number, c.size_bytes, c.n, f.own + CASE WHEN f.held > 0 AND f.held + c.size_bytes > 60000 THEN 1 ELSE 0 END,
+    CASE WHEN f.held > 0 AND f.held + c.size_bytes > 60000 THEN c.size_bytes ELSE f.held + c.size_bytes END
+  FROM filled f JOIN came c ON c.run_number = f.run_number AND c.trigger_number = f.trigger_number AND c.n = f.n + 1),
+files AS (SELECT run_number, trigger_number, own, count(*) AS n, sum(size_bytes)::BIGINT AS file_bytes FROM filled GROUP BY ALL)
+SELECT run_number, row_number() OVER (PARTITION BY run_number ORDER BY trigger_number, own) - 1 AS file_index, trigger_number, n, file_bytes FROM files
+""",
+    "recent_latency": f"""WITH {_DECISIONS}, {_FRAGMENTS}, {_COMPLETIONS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY completed DESC, trigger_number DESC) AS n FROM completions)
+SELECT app, count(*) AS n, sum(latency_us) FILTER (n <= 1000 AND completed >= 883612800000000) // nullif(count(*) FILTER (n <= 1000 AND completed >= 883612800000000), 0) AS average_latency_us FROM ranked GROUP BY app
+""",
+    "pool_state": f"""WITH {_DECISIONS}, {_FRAGMENTS}, {_COMPLETIONS},
+changes AS (SELECT 'app-' || (customer % 10) AS app, trigger_timestamp AS time, 1 AS delta FROM decisions UNION ALL SELECT app, completed, -1 FROM completions),
+pool AS (SELECT app, coalesce(sum(delta) FILTER (time <= 788918400000000), 0) AS s FROM changes GROUP BY app)
+SELECT sum(s)::BIGINT AS used_slots, bool_and(s >= 3) AS all_busy, bool_and(s = 0) AS is_empty FROM pool
+""",
+    "inhibit_edges": _ORDERED_MARKS + " SELECT app, time, kind, trigger_number, lag, busy FROM turned WHERE busy <> before",
+    "trb_counters": _TIMED
+    + """,
+reached AS (SELECT trigger_number, run_number, CASE WHEN customer % 11 = 0 THEN run_number + 1 ELSE run_number END AS builder_run FROM decisions JOIN (SELECT l_orderkey AS trigger_number FROM lineitem WHERE l_returnflag = 'R') USING (trigger_number)),
+odd AS (SELECT builder_run, count(*) FILTER (run_number <> builder_run) AS unexpected_trigger_decisions, count(*) FILTER (run_number = builder_run) - count(DISTINCT trigger_number) FILTER (run_number = builder_run) AS duplicated_trigger_ids FROM reached GROUP BY ALL),
+slow AS (SELECT run_number AS builder_run, count(*) FILTER (timed_out) AS timed_out_trigger_records, sum(late)::BIGINT AS late_fragments FROM timed JOIN decisions USING (trigger_number) GROUP BY ALL),
+wanted AS (SELECT n_nationkey AS k, EXISTS (SELECT 1 FROM decisions WHERE trigger_type = 1::BIGINT << (n_nationkey % 5)::INT AND trigger_timestamp >= 788918400000000 + n_nationkey * 86400000000) AS found FROM nation),
+asked AS (SELECT 1995 AS builder_run, count(*) AS received_trmon_requests, count(*) FILTER (found AND k % 3 <> 0) AS sent_trmon FROM wanted)
+SELECT d.run_number, coalesce(unexpected_trigger_decisions, 0) AS unexpected_trigger_decisions, coalesce(duplicated_trigger_ids, 0) AS duplicated_trigger_ids, coalesce(timed_out_trigger_records, 0) AS timed_out_trigger_records,
+  coalesce(late_fragments, 0) AS late_fragments, coalesce(received_trmon_requests, 0) AS received_trmon_requests, coalesce(sent_trmon, 0) AS sent_trmon
+FROM (SELECT DISTINCT run_number FROM decisions) d LEFT JOIN odd ON odd.builder_run = d.run_number LEFT JOIN slow ON slow.builder_run = d.run_number LEFT JOIN asked ON asked.builder_run = d.run_number
+""",
+    "record_check": ORACLES["record_assembly"].rstrip().rsplit("SELECT trigger_number, run_number, requested", 1)[0]
+    + "SELECT run_number, count(*) AS n_records, count(*) FILTER (received <> requested) AS n_wrong, count(*) FILTER (received <> requested) = 0 AS passed FROM records GROUP BY run_number",
+    "file_count_check": ORACLES["store_info"].split("SELECT run_number, sum(n)")[0] + "SELECT run_number, count(DISTINCT file_index) AS n_files, 40::BIGINT AS expected, count(DISTINCT file_index) = 40 AS passed FROM filled GROUP BY run_number",
+}

@@ -21,6 +21,7 @@ HOUR = CONFIG.tp_accumulation_interval
 DAY = 24 * HOUR
 APPS = 10
 BUSY = 3
+TRIGGER = ["trigger_number"]
 
 
 def query(function: Query) -> Query:
@@ -33,7 +34,22 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return assembly.assemble(_requests(spark, d), tables.fragments(spark, d))
+    """The surrogate fragments carry no run and trigger numbers are unique there, so the trigger is the record's key."""
+    return assembly.assemble(_requests(spark, d), tables.fragments(spark, d), TRIGGER, also=["run_number"])
+
+
+def _run_keyed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Slices, requests by slice and fragments by slice, of trigger numbers that come again in every run; some fragments are of slices that aren't there."""
+    decided, came = tables.run_keyed(tables.decisions(spark, d), tables.fragments(spark, d))
+    asked = tables.requests(decided)
+    sliced = decisions.slices(decisions.extents(asked), 250)
+    return sliced, decisions.data_requests(sliced, asked), came.withColumn("sequence_number", F.col("part") % 4)
+
+
+def _timed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    decided = tables.decisions(spark, d)
+    asked = tables.requests(decided).join(decided.select("trigger_number", F.col("trigger_timestamp").alias("created")), "trigger_number")
+    return asked, tables.fragments(spark, d)
 
 
 def _sliced(spark: SparkSession, d: str, window: int = 250) -> DataFrame:
@@ -84,7 +100,7 @@ def incomplete_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def unexpected_fragments(spark: SparkSession, d: str) -> DataFrame:
-    return assembly.unexpected(_requests(spark, d), tables.fragments(spark, d)).select("trigger_number", "source_id", "part", "supplier", "size_bytes")
+    return assembly.unexpected(_requests(spark, d), tables.fragments(spark, d), TRIGGER).select("trigger_number", "source_id", "part", "supplier", "size_bytes")
 
 
 @query
@@ -94,7 +110,29 @@ def lost_fragments_by_run(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def count_mode_assembly(spark: SparkSession, d: str) -> DataFrame:
-    return assembly.assemble_by_count(_requests(spark, d), tables.fragments(spark, d), ["arrival", "part", "supplier", "source_id"])
+    return assembly.assemble_by_count(_requests(spark, d), tables.fragments(spark, d), ["arrival", "part", "supplier", "source_id"], TRIGGER)
+
+
+@query
+def sliced_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """Records of sliced decisions, keyed by run, trigger and sequence."""
+    _, asked, came = _run_keyed(spark, d)
+    return assembly.assemble(asked, came)
+
+
+@query
+def record_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """The fragments of each record in order of arrival, until it is full."""
+    _, asked, came = _run_keyed(spark, d)
+    whole = assembly.with_fragments(asked, came, ["arrival", "part", "supplier", "source_id"], ["size_bytes"])
+    text = F.transform("fragments", lambda f: F.concat_ws(":", f["source_id"].cast("string"), f["size_bytes"].cast("string")))
+    return whole.select(*assembly.RECORD, "requested", "received", "missing", "status", F.concat_ws(",", text).alias("fragments"))
+
+
+@query
+def timed_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records that end when whole, or more than 60 days after their decision."""
+    return assembly.assemble_in_time(*_timed(spark, d), 60 * DAY, TRIGGER)
 
 
 @query
@@ -103,7 +141,7 @@ def fragment_routing(spark: SparkSession, d: str) -> DataFrame:
     asked = _requests(spark, d).join(tables.decisions(spark, d).select("trigger_number", "trigger_type", "customer"), "trigger_number")
     first = asked.select("trigger_number", "source_id", F.concat(F.lit("trb-"), (F.col("customer") % 3).cast("string")).alias("destination"), F.lit(0).alias("at"))
     again = asked.where(F.getbit("trigger_type", F.lit(0)) == 1).select("trigger_number", "source_id", F.lit("trb-urgent").alias("destination"), F.lit(1).alias("at"))
-    return assembly.route_fragments(first.unionByName(again), tables.fragments(spark, d), [F.desc("at")], [F.col(c) for c in ("arrival", "part", "supplier")])
+    return assembly.route_fragments(first.unionByName(again), tables.fragments(spark, d), "at", ["arrival", "part", "supplier"], TRIGGER)
 
 
 @query
@@ -112,7 +150,7 @@ def monitor_samples(spark: SparkSession, d: str) -> DataFrame:
     begin = 788_918_400_000_000
     nations = tables.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     wanted = nations.select(F.col("k").alias("request_id"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("k") % 5).cast("int")).alias("trigger_type"), (F.lit(begin) + F.col("k") * DAY).alias("since"))
-    return assembly.monitor_samples(tables.decisions(spark, d), F.broadcast(wanted))
+    return assembly.monitor_samples(tables.decisions(spark, d), wanted)
 
 
 @query
@@ -126,17 +164,17 @@ def source_geo(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def decision_extent(spark: SparkSession, d: str) -> DataFrame:
-    return decisions.extents(_requests(spark, d))
+    return decisions.extents(_requests(spark, d)).drop("run_number")
 
 
 @query
 def slice_windows(spark: SparkSession, d: str) -> DataFrame:
-    return _sliced(spark, d)
+    return _sliced(spark, d).drop("run_number")
 
 
 @query
 def data_requests(spark: SparkSession, d: str) -> DataFrame:
-    return decisions.data_requests(_sliced(spark, d), _requests(spark, d))
+    return decisions.data_requests(_sliced(spark, d), _requests(spark, d)).drop("run_number")
 
 
 @query
@@ -155,6 +193,14 @@ def run_filter(spark: SparkSession, d: str) -> DataFrame:
     return kept.join(dropped, "run_number")
 
 
+@query
+def unexpected_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Per run taken as the current one: decisions of it, and unexpected ones, which are counted and dropped."""
+    rows = tables.decisions(spark, d)
+    each = [decisions.filter_counts(rows, run, "received", "unexpected_trigger_decisions").withColumn("run_number", F.lit(run).cast("long")) for run in (1995, 1997)]
+    return each[0].unionByName(each[1])
+
+
 @query
 def duplicate_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Lines of an order as repeated decisions of one sequence: the first to arrive counts."""
@@ -217,6 +263,27 @@ def tardy_slices(spark: SparkSession, d: str) -> DataFrame:
     return late.groupBy("source_id", "slice_index").agg(F.count("*").alias("n_tardy"), F.max("tardy_seconds").alias("largest_tardiness"))
 
 
+def _arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Shipments as primitives that arrive, a second for each order, out of the order of their times; a run for each return flag."""
+    rows = tables.read(spark, d, "lineitem")
+    return rows.select(F.ascii("l_returnflag").cast("long").alias("run_number"), tables.ticks("l_shipdate").alias("time_start"), (F.col("l_orderkey") * 1_000_000).alias("arrival"))
+
+
+@query
+def tardy_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Primitives of 30-day slices: what comes for a slice before the first one, once a slice was emitted after 20 seconds of silence, is dropped."""
+    rows = _arrivals(spark, d)
+    marked = slices.mark_tardy(rows, slices.first_emission(rows, 30 * DAY, 20_000_000), 30 * DAY)
+    return marked.groupBy("run_number", "slice_index").agg(F.count(F.when(F.col("is_tardy"), 1)).alias("dropped"), F.count(F.when(~F.col("is_tardy"), 1)).alias("kept"))
+
+
+@query
+def quiet_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly slices that close after ten minutes of silence."""
+    rows = slices.payload(tables.primitives(spark, d)).withColumn("arrival", F.col("time_start"))
+    return slices.quiet_slices(rows, HOUR, 600_000_000)
+
+
 @query
 def stream_rates(spark: SparkSession, d: str) -> DataFrame:
     return slices.rates(tables.primitives(spark, d), ["run_number", "type"], "seqno", "time_start")
@@ -231,6 +298,13 @@ def prescale(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("trigger_number", "run_number", "nth", "is_stored")
 
 
+@query
+def prescale_of_run(spark: SparkSession, d: str) -> DataFrame:
+    """A writer of run 1995: records of other runs are dropped after they moved the prescale on."""
+    rows = sink.prescaled_of_run(tables.decisions(spark, d), 1995, ["trigger_timestamp", "trigger_number"], 7)
+    return rows.groupBy("is_foreign", "is_stored").agg(F.count("*").alias("n"), F.max("nth").alias("last_nth"))
+
+
 @query
 def sequence_completion(spark: SparkSession, d: str) -> DataFrame:
     written = tables.fragments(spark, d).select("trigger_number", "source_id").distinct()
@@ -259,6 +333,20 @@ def file_rollover(spark: SparkSession, d: str) -> DataFrame:
     return _filled(spark, d).select("trigger_number", "run_number", "record_bytes", "file_index")
 
 
+@query
+def event_files(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments in files of one trigger each, and of 60 kB at most."""
+    decided, came = tables.run_keyed(tables.decisions(spark, d), tables.fragments(spark, d))
+    rows = came.select("run_number", "trigger_number", "source_id", "part", "supplier", "size_bytes")
+    filled = sink.event_files(rows, ["run_number"], ["trigger_number", "source_id", "part", "supplier"], "size_bytes", 60_000)
+    return filled.groupBy("run_number", "file_index").agg(F.min("trigger_number").alias("trigger_number"), F.count("*").alias("n"), F.sum("size_bytes").alias("file_bytes"))
+
+
+@query
+def file_count_check(spark: SparkSession, d: str) -> DataFrame:
+    return checks.file_counts(_filled(spark, d), F.lit(40))
+
+
 @query
 def file_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sink.file_sizes(_filled(spark, d), ["run_number"], "record_bytes")
@@ -302,6 +390,19 @@ def latency_stats(spark: SparkSession, d: str) -> DataFrame:
     return balance.latencies(_completions(spark, d))
 
 
+@query
+def recent_latency(spark: SparkSession, d: str) -> DataFrame:
+    """The average of those of the newest 1000 completions of each app that are of 1998 or later."""
+    return balance.latencies(_completions(spark, d), since=883_612_800_000_000).select("app", "n", "average_latency_us")
+
+
+@query
+def pool_state(spark: SparkSession, d: str) -> DataFrame:
+    """Used slots of all apps at the begin of 1995."""
+    apps = tables.decisions(spark, d).select(_app().alias("app"))
+    return balance.used_slots(balance.occupancy(_changes(spark, d)), apps, 788_918_400_000_000, BUSY)
+
+
 @query
 def capacity_rate(spark: SparkSession, d: str) -> DataFrame:
     rows = balance.capacity(balance.latencies(_completions(spark, d)), CONFIG.busy_threshold, CONFIG.free_threshold)
@@ -314,12 +415,21 @@ def remnants(spark: SparkSession, d: str) -> DataFrame:
     return balance.remnants(rows, tables.fragments(spark, d)).select("trigger_number", "run_number", "app")
 
 
-@query
-def lag_inhibit(spark: SparkSession, d: str) -> DataFrame:
+def _marks(spark: SparkSession, d: str) -> DataFrame:
     """Decisions start and completions end, by app and in order of time; the mark is the trigger number."""
     begun = tables.decisions(spark, d).select(_app().alias("app"), F.col("trigger_timestamp").alias("time"), F.lit(0).alias("kind"), F.col("trigger_number").alias("started"), F.lit(None).cast("long").alias("ended"), "trigger_number")
     over = _completions(spark, d).select("app", F.col("completed").alias("time"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("started"), F.col("trigger_number").alias("ended"), "trigger_number")
-    return balance.lag_inhibit(begun.unionByName(over), ["app"], ["time", "kind", "trigger_number"], 100).select("app", "time", "kind", "trigger_number", "lag", "busy")
+    return begun.unionByName(over)
+
+
+@query
+def lag_inhibit(spark: SparkSession, d: str) -> DataFrame:
+    return balance.lag_inhibit(_marks(spark, d), ["app"], ["time", "kind", "trigger_number"], 100).select("app", "time", "kind", "trigger_number", "lag", "busy")
+
+
+@query
+def inhibit_edges(spark: SparkSession, d: str) -> DataFrame:
+    return balance.inhibit_edges(_marks(spark, d), ["app"], ["time", "kind", "trigger_number"], 100).select("app", "time", "kind", "trigger_number", "lag", "busy")
 
 
 @query
@@ -334,20 +444,35 @@ def balanced_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def trb_info(spark: SparkSession, d: str) -> DataFrame:
-    asked, runs = _requests(spark, d), tables.decisions(spark, d).select("trigger_number", "run_number")
-    records = _records(spark, d).join(decisions.extents(asked), "trigger_number")
+    asked = _requests(spark, d)
+    records = _records(spark, d).join(decisions.extents(asked).drop("run_number"), "trigger_number")
     sliced = _sliced(spark, d)
-    return metrics.builder_info(records, sliced.join(runs, "trigger_number"), decisions.data_requests(sliced, asked).join(runs, "trigger_number"))
+    return metrics.builder_info(records, sliced, decisions.data_requests(sliced, asked))
 
 
 @query
 def trb_errors(spark: SparkSession, d: str) -> DataFrame:
     asked = _requests(spark, d)
     runs = tables.decisions(spark, d).select("trigger_number", "run_number")
-    odd = assembly.unexpected(asked, tables.fragments(spark, d))
+    odd = assembly.unexpected(asked, tables.fragments(spark, d), TRIGGER)
     return metrics.builder_errors(_records(spark, d), odd, runs, decisions.invalid(asked, F.broadcast(_routes(spark))))
 
 
+@query
+def trb_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Time-outs, late fragments, unexpected and repeated decisions and monitor requests, by run.
+
+    Decisions reach builders as the lines of orders with the flag R do: several times, and those of customers divisible by 11 at the builder of the next run.
+    """
+    made = tables.decisions(spark, d)
+    again = tables.read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("trigger_number"))
+    reached = made.join(again, "trigger_number").withColumn("builder_run", F.when(F.col("customer") % 11 == 0, F.col("run_number") + 1).otherwise(F.col("run_number")))
+    asked, came = _timed(spark, d)
+    timed = assembly.assemble_in_time(asked, came, 60 * DAY, TRIGGER).join(made.select("trigger_number", "run_number"), "trigger_number")
+    samples = monitor_samples(spark, d).withColumns({"builder_run": F.lit(1995).cast("long"), "run_number": F.when(F.col("request_id") % 3 == 0, 1994).otherwise(1995).cast("long")})
+    return metrics.builder_counters(reached, F.col("builder_run"), timed, samples, made)
+
+
 @query
 def dfo_info(spark: SparkSession, d: str) -> DataFrame:
     made = tables.decisions(spark, d)
@@ -401,6 +526,11 @@ def fragment_checks(spark: SparkSession, d: str) -> DataFrame:
     return checks.fragment_checks(tables.fragments(spark, d), expected)
 
 
+@query
+def record_check(spark: SparkSession, d: str) -> DataFrame:
+    return checks.record_checks(_records(spark, d))
+
+
 @query
 def event_count_check(spark: SparkSession, d: str) -> DataFrame:
     """Against a seventh of all decisions in each run."""
@@ -430,6 +560,19 @@ def stream_assembly(spark: SparkSession, d: str) -> DataFrame:
     return stream_assembly_of.replay(spark, d)
 
 
+@query
+def stream_timeouts(spark: SparkSession, d: str) -> DataFrame:
+    """``timed_records`` as a stream in three micro-batches, and the drain at its end."""
+    return stream_assembly_of.replay_in_time(*_timed(spark, d), 60 * DAY, TRIGGER)
+
+
+@query
+def stream_quiet_slices(spark: SparkSession, d: str) -> DataFrame:
+    """``quiet_slices`` as a stream in four micro-batches, and the flush at its end."""
+    rows = slices.payload(tables.primitives(spark, d)).withColumn("arrival", F.col("time_start"))
+    return stream_slices_of.replay_quiet(rows, HOUR, 600_000_000)
+
+
 @query
 def stream_slices(spark: SparkSession, d: str) -> DataFrame:
     return stream_slices_of.replay(spark, d)

@@ -84,6 +84,12 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_keyed(decided: DataFrame, fragments: DataFrame, runs: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Decisions and fragments whose trigger numbers come again in each of ``runs`` runs."""
+    key = {"run_number": F.col("trigger_number") % runs, "trigger_number": F.expr(f"trigger_number div {runs}")}
+    return decided.withColumns(key), fragments.withColumns(key)
+
+
 def primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         F.col("event_id").alias("seqno"),

@@ -1,8 +1,8 @@
 """Record assembly over streams.
 
-``updates`` keeps per trigger which sources were asked for and which came, as bit masks in Spark's own
-aggregation state; ``with_timeout`` is the keyed state machine that emits a record once, when it is complete
-or when it is too old.  Open state isn't flushed when a stream ends: ``flushed`` adds what is left.
+``updates`` keeps per record which sources were asked for and which came, as sets in Spark's own aggregation
+state; ``emitted`` is the keyed state machine that emits a record once, when it is complete or when it is too
+old, and tells late fragments apart.  Open state isn't flushed when a stream ends: ``flushed`` adds what is left.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.assembly import status
+from ..operators.assembly import RECORD, assemble_in_time, status
 from ..sources import tables
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, staged
 
-OUTPUT = "trigger_number long, requested long, received long, missing long, status string"
-_STATE = "asked long, came long, created long"
+_STATE = "asked array<long>, came array<long>, created long, ended boolean, last long"
 
 
 def _as_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,74 +28,162 @@ def _as_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(kind).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def events(decided: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Both inputs as trigger_number, asked and came masks. Sources 1 to 62."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("source_id").cast("int"))
-    none = F.lit(0).cast("long")
-    asked = tables.requests(decided).select("trigger_number", bit.alias("asked"), none.alias("came"))
-    came = fragments.select("trigger_number", none.alias("asked"), bit.alias("came"))
+def events(requests: DataFrame, fragments: DataFrame, record: list[str] = RECORD) -> DataFrame:
+    """Both inputs as one table: the record's key, asked and came (the source, in one of the two)."""
+    none = F.lit(None).cast("long")
+    asked = requests.select(*record, F.col("source_id").alias("asked"), none.alias("came"))
+    came = fragments.select(*record, none.alias("asked"), F.col("source_id").alias("came"))
     return asked.unionByName(came)
 
 
-def updates(rows: DataFrame) -> DataFrame:
-    """A record's standing, again at every change (output mode update)."""
-    each = rows.groupBy("trigger_number").agg(F.bit_or("asked").alias("_asked"), F.bit_or("came").alias("_came")).where("_asked <> 0")
-    requested = F.bit_count("_asked").cast("long")
-    received = F.bit_count(F.col("_asked").bitwiseAND(F.col("_came"))).cast("long")
-    return each.select("trigger_number", requested.alias("requested"), received.alias("received"), (requested - received).alias("missing"), status(requested, received).alias("status"))
+def updates(rows: DataFrame, record: list[str] = RECORD) -> DataFrame:
+    """A record's standing, again at every change (output mode update). Any source numbers; the sets are as large as a record's sources."""
+    each = rows.groupBy(*record).agg(F.collect_set("asked").alias("_asked"), F.collect_set("came").alias("_came")).where("size(_asked) > 0")
+    requested = F.size("_asked").cast("long")
+    received = F.size(F.array_intersect("_asked", "_came")).cast("long")
+    return each.select(*record, requested.alias("requested"), received.alias("received"), (requested - received).alias("missing"), status(requested, received).alias("status"))
 
 
-def with_timeout(rows: DataFrame, timeout_ms: int) -> DataFrame:
-    """Emits each record once: complete when its last source comes, else as it stands once ``timeout_ms`` have passed (0: never).
+def timed_events(requests: DataFrame, fragments: DataFrame, record: list[str] = RECORD) -> DataFrame:
+    """Decisions and fragments as one table of messages: the record's key, asked (a decision's sources, one row each record), came (a source), at.
 
-    What comes for a record after it was emitted is late and goes to a state of its own, which times out too.
+    ``at`` is when the decision was made (``created``) or the fragment came (``arrival``), in microseconds.
     """
+    asked = requests.groupBy(*record).agg(F.array_sort(F.collect_set("source_id")).alias("asked"), F.lit(None).cast("long").alias("came"), F.min("created").alias("at"))
+    came = fragments.select(*record, F.lit(None).cast("array<long>").alias("asked"), F.col("source_id").alias("came"), F.col("arrival").alias("at"))
+    return asked.unionByName(came)
+
+
+def emitted(rows: DataFrame, timeout: int, record: list[str] = RECORD, remember: int = 0, clock: str = "event") -> DataFrame:
+    """Emits each record once: complete when its last source comes, else as it stands once more than ``timeout`` microseconds have passed since it was created (0: never).
+
+    rows: as from ``timed_events``.  The time-out counts from the decision, not from the last fragment.  What comes for a
+    record that has ended is late and gives rows of status ``late`` at once, with their number.  That a record has
+    ended is remembered for ``remember`` microseconds after its end (0: always); a fragment after that opens a state that holds
+    it for a decision that may still come.
+
+    clock ``event``: time is ``at``, as far as the watermark on the column ``time`` (a timestamp) has gone, so a replay gives
+    the same; ``processing``: the wall clock, ``at`` is not used, and a record is created when its decision is read.
+    """
+    if clock not in ("event", "processing"):
+        raise ValueError(f"unknown clock {clock}")
+    names = [*record, "requested", "received", "missing", "late", "timed_out", "status"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        asked, came, created = state.get if state.exists else (0, 0, state.getCurrentProcessingTimeMs())
-        if not state.hasTimedOut:
-            for rows_ in batches:
-                for a, c in zip(rows_["asked"], rows_["came"]):
-                    asked, came = asked | int(a), came | int(c)
-        requested, received = asked.bit_count(), (asked & came).bit_count()
-        if state.hasTimedOut or (asked and requested == received):
-            state.remove()
-            if asked:
-                what = "complete" if requested == received else "incomplete" if received else "empty"
-                yield pd.DataFrame([(key[0], requested, received, requested - received, what)], columns=["trigger_number", "requested", "received", "missing", "status"])
-            return
-        state.update((asked, came, created))
-        if timeout_ms > 0:
-            state.setTimeoutDuration(timeout_ms)
-
-    mode = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms > 0 else GroupStateTimeout.NoTimeout
-    return rows.groupBy("trigger_number").applyInPandasWithState(step, OUTPUT, _STATE, "append", mode)
-
-
-def flushed(rows: DataFrame, emitted: DataFrame) -> DataFrame:
+        asked, came, created, ended, last = state.get if state.exists else ([], [], None, False, None)
+        asked, came, out, late = set(asked), set(came), [], 0
+        now = state.getCurrentProcessingTimeMs() * 1000
+
+        def end(timed_out: bool) -> None:
+            n, m = len(asked), len(asked & came)
+            out.append((*key, n, m, n - m, 0, timed_out, "complete" if m == n else "incomplete" if m else "empty"))
+
+        if state.hasTimedOut:
+            if ended or created is None:
+                state.remove()
+                return
+            end(True)
+            ended = True
+            last = created + timeout
+        else:
+            got = pd.concat(list(batches), ignore_index=True)
+            # of one time, decisions go first
+            got = got.sort_values(["at", "came"] if clock == "event" else ["came"], na_position="first", kind="stable")
+            for a, c, at in zip(got["asked"], got["came"], got["at"]):
+                at = int(at) if clock == "event" else now
+                if not ended and created is not None and timeout > 0 and at - created > timeout:
+                    end(True)
+                    ended, last = True, created + timeout
+                if ended and remember and at - last > remember:
+                    asked, came, created, ended, last = set(), set(), None, False, None
+                if a is not None:
+                    if not ended:
+                        asked.update(map(int, a))
+                        created = at if created is None else created
+                elif ended:
+                    late += int(c) in asked
+                else:
+                    came.add(int(c))
+                    last = at if last is None else max(last, at)
+                if not ended and asked and asked <= came:
+                    end(False)
+                    ended, last = True, at
+        if late:
+            out.append((*key, len(asked), 0, 0, late, False, "late"))
+        state.update((sorted(asked), [] if ended else sorted(came), created, ended, last))
+        due = last + remember if ended and remember else created + timeout if not ended and created is not None and timeout > 0 else None
+        if due is not None:
+            if clock == "event":
+                state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
+            else:
+                state.setTimeoutDuration(max(1, (due - now) // 1000))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    kinds = T.StructType([rows.schema[c] for c in record] + [T.StructField(n, T.LongType()) for n in names[len(record) : -2]] + [T.StructField("timed_out", T.BooleanType()), T.StructField("status", T.StringType())])
+    timed = timeout > 0 or remember > 0
+    mode = (GroupStateTimeout.EventTimeTimeout if clock == "event" else GroupStateTimeout.ProcessingTimeTimeout) if timed else GroupStateTimeout.NoTimeout
+    return rows.groupBy(*record).applyInPandasWithState(step, kinds, _STATE, "append", mode)
+
+
+def flushed(rows: DataFrame, done: DataFrame, record: list[str] = RECORD) -> DataFrame:
     """The drain at the end of a run, as a batch: emitted records, and all others as they stand."""
-    rest = updates(rows.join(emitted.select("trigger_number"), "trigger_number", "left_anti"))
-    return emitted.unionByName(rest)
+    rest = updates(rows.join(done.select(*record), record, "left_anti"), record)
+    return done.unionByName(rest)
 
 
-def last_updates(stream: DataFrame, key: list[str]) -> DataFrame:
-    """Runs an update-mode stream over what is there now and returns the last row of each key."""
+def run_now(stream: DataFrame, mode: str = "append", name: str = "emitted") -> DataFrame:
+    """Runs a stream over what is there now, in as many micro-batches as its source makes, and returns all that it emitted."""
     spark = stream.sparkSession
-    path = new_path(spark, "updates")
-    rest = [c for c in stream.columns if c not in key]
+    path = new_path(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start()
+    run = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start()
     run.awaitTermination()
-    back = spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
+    if run.lastProgress is None:
+        return spark.createDataFrame([], stream.schema.add("batch", "long"))
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
+
+
+def last_updates(stream: DataFrame, key: list[str]) -> DataFrame:
+    """Runs an update-mode stream over what is there now and returns the last row of each key."""
+    rest = [c for c in stream.columns if c not in key]
+    back = run_now(stream, "update", "updates")
     return back.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*key, "_last.*")
 
 
+def in_order(rows: DataFrame, at: str, files: int) -> DataFrame:
+    """The rows as a stream of so many files in the order of ``at``, one for each micro-batch."""
+    spark = rows.sparkSession
+    path = new_path(spark, "stream")
+    laid = staged(rows.repartitionByRange(files, at).withColumn("_file", F.spark_partition_id()), "ordered", ["_file"])
+    for k in range(files):  # one after the other: a file source takes files in the order in which they were made
+        laid.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record assembly with both tables read as streams."""
     orders, lines = _as_stream(spark, sf_dir, "orders"), _as_stream(spark, sf_dir, "lineitem")
     decided = orders.select(F.col("o_orderkey").alias("trigger_number"), F.year("o_orderdate").cast("long").alias("run_number"), tables.ticks("o_orderdate").alias("trigger_timestamp"))
     came = lines.select(F.col("l_orderkey").alias("trigger_number"), F.col("l_linenumber").cast("long").alias("source_id"))
-    return last_updates(updates(events(decided, came)), ["trigger_number"])
+    key = ["trigger_number"]
+    return last_updates(updates(events(tables.requests(decided), came, key), key), key)
+
+
+def replay_in_time(requests: DataFrame, fragments: DataFrame, timeout: int, record: list[str] = RECORD, batches: int = 3) -> DataFrame:
+    """``emitted`` over a replay in micro-batches, and at its end the drain: the columns of ``assemble_in_time`` but ``ended``.
+
+    The same whatever the number of micro-batches: files come in order of time, and within one the rows are sorted.
+    Times must be after 1970-01-01, where Spark's watermark begins.
+    """
+    rows = timed_events(requests, fragments, record)
+    stream = in_order(rows, "at", batches).withColumn("time", F.timestamp_micros("at")).withWatermark("time", "0 seconds")
+    got = run_now(emitted(stream, timeout, record)).drop("batch")
+    late = got.where("status = 'late'").groupBy(*record).agg(F.sum("late").alias("late"))
+    done = got.where("status <> 'late'").drop("late").join(late, record, "left").withColumn("late", F.coalesce("late", F.lit(0).cast("long")))
+    names = [*record, "requested", "received", "missing", "timed_out", "late", "status"]
+    left = assemble_in_time(requests.join(done.select(*record), record, "left_anti"), fragments, timeout, record)
+    return done.select(*names).unionByName(left.select(*names))
