@@ -13,6 +13,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 1500
 
 _own: list[str] = []
-_made: list[str] = []
+_record: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -49,7 +52,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    _made.append(path := f"{shared_folder(spark)}/scratch/{name}-{uuid.uuid4().hex}")
+    path = f"{shared_folder(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    if (made := _record.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -69,10 +74,12 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def since(mark: int) -> list[str]:
-    """Paths made after the mark that ``made`` gave."""
-    return _made[mark:]
-
-
-def made() -> int:
-    return len(_made)
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The scratch paths that are made inside, by this thread; whoever records owns them and may drop them when nothing reads them any more."""
+    made: list[str] = []
+    token = _record.set(made)
+    try:
+        yield made
+    finally:
+        _record.reset(token)
