@@ -247,17 +247,113 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
     return out.select(F.col("_key").alias(key), "code", hex16(F.col("code")).alias("fingerprint"), F.col("class_least").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: int = GROUPS) -> DataFrame:
-    """The rows of docs with all columns, one of each class: the smallest key (null keys last), then the smallest row hash.
+#: The wide search: so many keys of so many least hashes each. Texts of similarity 0.8 share a key with a chance of 0.998.
+KEYS, KEY_HASHES = 16, 5
+_MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 63, KEYS * KEY_HASHES, dtype=np.uint64) * np.uint64(2) + _ONE
+_SHIFTS = np.random.default_rng(6).integers(0, 1 << 63, KEYS * KEY_HASHES, dtype=np.uint64)
 
-    Rows that agree in every column are one row afterwards. Column names that begin with ``_dedup`` are taken.
+
+def shingle_set(text: bytes | None, width: int) -> set[bytes]:
+    """Distinct shingles of ``width`` words, A-Z in lower case; fewer words make one shingle, none makes none."""
+    tokens = words(text.lower() if text else None)
+    if len(tokens) < width:
+        return {b" ".join(tokens)} if tokens else set()
+    return set(map(b" ".join, zip(*(tokens[k:] for k in range(width)))))
+
+
+def similarity(a: set[bytes], b: set[bytes]) -> float:
+    """Jaccard similarity; texts without words are alike."""
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def _sketch(text: bytes | None, width: int) -> tuple[int, int, list[int]]:
+    """Fingerprint over shingles, a hash of the set of shingles, and the keys of the wide search."""
+    own = shingle_set(text, width)
+    hashed = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in own), np.uint64, len(own))
+    least = np.full(KEYS * KEY_HASHES, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashed), 1024):
+            np.minimum(least, (hashed[at : at + 1024, None] * _MULTIPLIERS + _SHIFTS).min(0), out=least)
+        keys = np.zeros(KEYS, np.uint64)
+        for part in least.reshape(KEYS, KEY_HASHES).T:
+            keys = (keys ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            keys ^= keys >> np.uint64(29)
+        whole = np.bitwise_xor.reduce(hashed) + hashed.sum(dtype=np.uint64) * np.uint64(3) if own else np.uint64(0)
+    return _signed(fingerprint(text, width)), int(np.uint64(whole).view(np.int64)), keys.view(np.int64).tolist()
+
+
+_SKETCH = T.StructType([T.StructField("code", T.LongType()), T.StructField("whole", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+
+def _sketches(width: int):
+    @F.pandas_udf(_SKETCH)
+    def each(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            yield pd.DataFrame([_sketch(x, width) for x in batch], columns=_SKETCH.names)
+
+    return each
+
+
+def wide_pairs(each: DataFrame) -> DataFrame:
+    """each: whole, keys. Pairs (a, b) of texts that share a key: every text with two that stand for the key's cell.
+
+    Those are the text that shares most with all others (the sum of the sizes of its cells: the one that the rest was
+    copied from), and one by chance.  So a cell of any size gives two pairs a text, by aggregates alone.
+    """
+    cells = each.select("whole", F.posexplode("keys").alias("band", "cell"))
+    sizes = cells.groupBy("band", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    shared = staged(cells.join(sizes, ["band", "cell"]), "cells")
+    weight = shared.groupBy("whole").agg(F.sum("n").alias("w"))
+    weighed = shared.join(weight, "whole")
+    chance = F.xxhash64("whole", "band")
+    heads = weighed.groupBy("band", "cell").agg(F.max(F.struct("w", "whole")).alias("most"), F.min(F.struct(chance.alias("h"), "whole")).alias("any"))
+    met = shared.join(heads.select("band", "cell", F.explode(F.array("most.whole", "any.whole")).alias("head")), ["band", "cell"]).where("whole <> head")
+    return met.select(F.least("whole", "head").alias("a"), F.greatest("whole", "head").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts (whole, text) have an exact shingle similarity of ``least`` or more."""
+
+    @F.pandas_udf(T.BooleanType())
+    def check(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            seen: tuple[bytes | None, set[bytes]] = (None, set())
+            out = []
+            for x, y in zip(left, right):
+                if y is None or y != seen[0]:
+                    seen = (y, shingle_set(y, width))
+                out.append(similarity(shingle_set(x, width), seen[1]) >= least)
+            yield pd.Series(out, dtype=bool)
+
+    a, b = (texts.select(F.col("whole").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").where(check("text_a", "text_b")).select("a", "b")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: int = GROUPS, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs with all columns, one of each class of near-duplicates: the smallest key (null keys last), then the smallest row hash.
+
+    Near-duplicates are texts whose shingles of ``width`` words have a Jaccard similarity of ``least`` or more, and what links
+    over such pairs.  Candidates are the links of the fingerprint grid, and texts that share a key of least
+    hashes: at a similarity of 0.8 fingerprints lie about ten bits apart, where no grid filters.  Every
+    candidate is verified on whole texts.  Texts with the same set of shingles are one from the start, those without words too.
+    Rows that agree in every column are one row afterwards; map columns must not occur. Column names that begin with ``_dedup`` are taken.
     """
     columns = [f"`{c}`" for c in docs.columns]
     row = F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
-    rank = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), row.alias("r"))
-    marked = staged(docs.select(rank.alias("rank"), fingerprints(F.col(text)).alias("code")), "fingerprints")
-    kept = classes(marked, "rank", groups).select("class_least.*").distinct()
-    kept = kept.select(F.col("n").alias("_dedup_n"), F.coalesce(F.col("k").cast("string"), F.lit("")).alias("_dedup_k"), F.col("r").alias("_dedup_r"))
-    there = docs.withColumns({"_dedup_n": F.col(key).isNull(), "_dedup_k": F.coalesce(F.col(key).cast("string"), F.lit("")), "_dedup_r": row})
     names = ["_dedup_n", "_dedup_k", "_dedup_r"]
-    return there.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
+    named = dict(zip(names, (F.col(f"`{key}`").isNull(), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), row)))
+    rank = F.struct(F.col(f"`{key}`").isNull().alias("n"), F.col(f"`{key}`").alias("k"), row.alias("r"))
+    marked = staged(docs.select(rank.alias("rank"), _sketches(width)(F.col(f"`{text}`").cast("binary")).alias("s")).select("rank", "s.*"), "sketches")
+    each = staged(marked.groupBy("whole").agg(F.min("rank").alias("least"), F.first("code").alias("code"), F.first("keys").alias("keys")), "texts")
+    by_code = each.groupBy("code").agg(F.min("whole").alias("head"))
+    same = each.join(by_code, "code").where("whole <> head").select(F.least("whole", "head").alias("a"), F.greatest("whole", "head").alias("b"))
+    near_codes = links(by_code.select("code"), groups).join(by_code.select(F.col("code").alias("a"), F.col("head").alias("ha")), "a").join(by_code.select(F.col("code").alias("b"), F.col("head").alias("hb")), "b")
+    near_codes = near_codes.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    pairs = staged(wide_pairs(each).unionByName(same).unionByName(near_codes).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct()
+    wanted = each.join(wanted, "whole").select("whole", F.col("least.n").alias(names[0]), F.coalesce(F.col("least.k").cast("string"), F.lit("")).alias(names[1]), F.col("least.r").alias(names[2]))
+    texts = docs.select(*[c.alias(n) for n, c in named.items()], F.col(f"`{text}`").cast("binary").alias("text")).join(wanted, names).groupBy("whole").agg(F.first("text").alias("text"))
+    found = components(alike(pairs, texts, width, least))
+    kept = each.join(found, each["whole"] == found["node"], "left").groupBy(F.coalesce("component", "whole").alias("_class")).agg(F.min("least").alias("l")).select("l.*")
+    kept = kept.select(F.col("n").alias(names[0]), F.coalesce(F.col("k").cast("string"), F.lit("")).alias(names[1]), F.col("r").alias(names[2]))
+    return docs.withColumns(named).join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
