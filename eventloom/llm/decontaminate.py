@@ -1,13 +1,16 @@
 """Operator 8: benchmark items inside documents.
 
 A document's windows of an item's own size are compared with the item.  SimHash fingerprints of windows
-look up items in a multi-index: fingerprints within 23 bits of each other agree to 5 bits in at least one
-of four 16-bit blocks, and each block's table holds, for each of its 65536 values, the items within 5
-bits; so no fingerprint within the radius is missed.  Candidates are verified by the exact weighted
-Jaccard similarity of their 5-word shingles (counts times the shingle's rarity among the items).
+look up the items of their size in a multi-index: fingerprints within 23 bits of each other agree to 2 bits in at
+least one of eight 8-bit blocks, and each block's table holds, for each of its 256 values, which items are within 2
+bits, as one bit an item; so no fingerprint within the radius is missed, and an item takes 256 bytes.  Candidates are
+verified by the exact weighted Jaccard similarity of their 5-word shingles (counts times the shingle's rarity among
+all distinct items).
 
 A window that shares no shingle with an item has similarity zero; fingerprints are made only for windows
 that share one.  Whole texts are searched, document by document, so no group of any size meets in a task.
+Equal items are searched once.  A benchmark over ``PASS_BYTES`` takes several passes over the documents, split by
+item size, with the weights of the whole benchmark in each, so results are the same in one pass or many.
 """
 
 from __future__ import annotations
@@ -23,12 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import staged
+
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 23
-_BLOCK_RADIUS = RADIUS // 4
-#: Words of items that one pass over the documents holds in memory; more items take more passes.
-PASS_WORDS = 500_000
+_BLOCKS = 8
+_BLOCK_RADIUS = RADIUS // _BLOCKS
+#: Bytes of item text that one pass over the documents holds in memory; more items take more passes.
+PASS_BYTES = 4_000_000
+#: Shingles that several items share are sent to tasks with their weights; more of them than this are refused, not cut.
+MOST_SHARED = 4_000_000
 
 _PLAIN = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
 _BITS = np.arange(64, dtype=np.uint64)
@@ -40,9 +48,13 @@ def plain_words(text: bytes | None) -> list[bytes]:
 
 
 class Index:
-    """Items, their shingles and fingerprints. Built from (number, words) pairs once in each worker."""
+    """Items, their shingles and fingerprints. Built from (number, words) pairs once in each worker.
+
+    ``n`` distinct items and ``shared`` (hash of a shingle -> how many of them have it, for those of two or more) are of the
+    whole benchmark; without them the items given are all there is.
+    """
 
-    def __init__(self, items: tuple[tuple[int, tuple[bytes, ...]], ...]):
+    def __init__(self, items: tuple[tuple[int, tuple[bytes, ...]], ...], n: int | None = None, shared: tuple[tuple[int, int], ...] | None = None):
         self.words: dict[bytes, int] = {}
         self.items = [(number, tokens) for number, tokens in items if tokens]
         for _, tokens in self.items:
@@ -57,7 +69,15 @@ class Index:
             grams.append(own)
             rarity.update(set(own))
         self.gram_id = {g: k for k, g in enumerate(sorted(rarity))}
-        n = max(1, len(self.items))
+        n = max(1, len(self.items) if n is None else n)
+        if shared is not None:
+            among = dict(shared)
+            rarity = Counter({g: among.get(_gram_hash(g), 1) for g in rarity})
+            own = {_gram_hash(g) for g in rarity}
+            #: Shared shingles that none of these items has: they weigh what they weigh in the whole benchmark.
+            self.foreign = {h: float(np.log1p(n / c)) for h, c in shared if h not in own}
+        else:
+            self.foreign = {}
         #: The last entry is for shingles that no item has.
         self.weight = np.array([np.log1p(n / rarity[g]) for g in self.gram_id] + [np.log1p(n)])
         hashed = np.array([xxhash.xxh64_intdigest(b" ".join(g)) for g in self.gram_id] + [0], np.uint64)
@@ -72,7 +92,12 @@ class Index:
             for g in own:
                 self.having[g].append(k)
         self.codes = {w: self._codes(w) for w in self.widths}
-        self.blocks = [self._block(b) for b in range(4)]
+        #: By size: the items of that size, their shingles, and for each block and value which of them are near, as bits.
+        self.of_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == size)
+            grams = np.unique(np.concatenate([np.fromiter(self.grams[k], np.int64) for k in own]))
+            self.of_size[size] = own, grams, self._near(self.prints[own])
 
     @staticmethod
     def _grams(tokens: list[bytes], width: int) -> list[tuple[bytes, ...]]:
@@ -94,31 +119,31 @@ class Index:
         with np.errstate(over="ignore"):
             return reduce(lambda a, b: a * np.uint64(0x9E3779B97F4A7C15) + b, ids.astype(np.uint64).T)
 
-    def _block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each value of block b the items whose block is within the block radius: starts, items."""
-        values = np.arange(65536, dtype=np.uint32)
-        own = ((self.prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint32)
-        near = [np.flatnonzero(np.bitwise_count(values ^ x) <= _BLOCK_RADIUS) for x in own]
-        value = np.concatenate(near) if near else np.zeros(0, np.int64)
-        item = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in near])
-        order = np.argsort(value, kind="stable")
-        return np.searchsorted(value[order], np.arange(65537)), item[order]
+    @staticmethod
+    def _near(prints: np.ndarray) -> np.ndarray:
+        """[block, value, items / 8]: bits of the items whose block is within the block radius of the value."""
+        values = np.arange(256, dtype=np.uint8)
+        blocks = prints.astype("<u8").view(np.uint8).reshape(-1, _BLOCKS)
+        out = np.zeros((_BLOCKS, 256, -(-len(prints) // 8)), np.uint8)
+        for b in range(_BLOCKS):
+            out[b] = np.packbits(np.bitwise_count(values[:, None] ^ blocks[None, :, b]) <= _BLOCK_RADIUS, axis=1)
+        return out
 
     def within(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (position in prints, item of this size) within the radius, by the multi-index."""
-        pairs = []
-        for b, (starts, items) in enumerate(self.blocks):
-            value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            many = starts[value + 1] - starts[value]
-            at = np.repeat(np.arange(len(prints)), many)
-            inside = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-            item = items[starts[value][at] + inside]
-            ok = self.size[item] == size
-            pairs.append(at[ok] * len(self.size) + item[ok])
-        pairs = np.unique(np.concatenate(pairs))
-        at, item = pairs // len(self.size), pairs % len(self.size)
-        ok = np.bitwise_count(prints[at] ^ self.prints[item]) <= RADIUS
-        return at[ok], item[ok]
+        own, _, near = self.of_size[size]
+        blocks = np.ascontiguousarray(prints.astype("<u8")).view(np.uint8).reshape(-1, _BLOCKS)
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, 4_000_000 // len(own))
+        for lo in range(0, len(prints), step):
+            part = blocks[lo : lo + step]
+            hit = near[0][part[:, 0]]
+            for b in range(1, _BLOCKS):
+                hit |= near[b][part[:, b]]
+            at, item = np.nonzero(np.unpackbits(hit, axis=1, count=len(own)))
+            ok = np.bitwise_count(prints[lo + at] ^ self.prints[own[item]]) <= RADIUS
+            pairs.append((lo + at[ok], own[item[ok]]))
+        return np.concatenate([x for x, _ in pairs]), np.concatenate([x for _, x in pairs])
 
     def shingles(self, tokens: list[bytes], width: int) -> np.ndarray | None:
         """Shingle ids by position, the unknown id where no item has the shingle; None if none has any."""
@@ -157,56 +182,120 @@ class Index:
                     if min(WIDTH, size) == width:
                         windows[size].update(range(max(0, p - size + width), min(p, max(0, len(tokens) - size)) + 1))
             for size, starts in windows.items():
-                self._windows(found, size, width, np.array(sorted(starts), np.int64), threshold, best)
+                self._windows(tokens, found, size, width, np.array(sorted(starts), np.int64), threshold, best)
         return [(self.items[k][0], s, at, int(min(self.size[k], len(tokens)))) for k, (s, at) in sorted(best.items())]
 
-    def _windows(self, found: np.ndarray, size: int, width: int, starts: np.ndarray, threshold: float, best: dict) -> None:
-        """Fingerprints the windows at ``starts``, some thousands at a time, and verifies their candidates."""
+    def _weights(self, tokens: list[bytes], found: np.ndarray, used: np.ndarray, width: int) -> np.ndarray:
+        """Weights of the shingles at these places."""
+        out = self.weight[found[used]]
+        if self.foreign:
+            unknown = len(self.gram_id)
+            for k, p in enumerate(used.tolist()):
+                if found[p] == unknown:
+                    out[k] = self.foreign.get(_gram_hash(tokens[p : p + width]), out[k])
+        return out
+
+    def _windows(self, tokens: list[bytes], found: np.ndarray, size: int, width: int, starts: np.ndarray, threshold: float, best: dict) -> None:
+        """Fingerprints the windows at ``starts``, some thousands at a time, and verifies their candidates.
+
+        Only shingles of items of this size pull bits of a fingerprint.
+        """
         many = size - width + 1
+        grams = self.of_size[size][1]
         for part in np.array_split(starts, -(-len(starts) // 2048)):
             lo, hi = int(part[0]), min(len(found), int(part[-1]) + many)
             used = np.unique((part[:, None] + np.arange(many)).ravel())
             used = used[used < hi]
+            own = found[used]
             sums = np.zeros((len(used) + 1, 64))
-            np.cumsum(self.signs[found[used]], 0, out=sums[1:])
-            weights = np.r_[0, np.cumsum(self.weight[found[used]])]
+            np.cumsum(self.signs[np.where(np.isin(own, grams), own, len(self.gram_id))], 0, out=sums[1:])
+            weights = np.r_[0, np.cumsum(self._weights(tokens, found, used, width))]
             first, last = np.searchsorted(used, part), np.searchsorted(used, np.minimum(part + many, hi))
             prints = np.bitwise_or.reduce((sums[last] - sums[first] > 0).astype(np.uint64) << _BITS, axis=1)
             for at, item in zip(*self.within(prints, size)):
                 start = int(part[at])
-                own = self.grams[item]
+                grams_of = self.grams[item]
                 there = Counter(found[start : start + many].tolist())
-                shared = sum(self.weight[g] * min(c, there[g]) for g, c in own.items() if g in there)
+                shared = sum(self.weight[g] * min(c, there[g]) for g, c in grams_of.items() if g in there)
                 total = weights[last[at]] - weights[first[at]] + self.total[item] - shared
                 similarity = shared / total if total else 0.0
                 if similarity >= threshold - 1e-9 and (item not in best or (similarity, -start) > (best[item][0], -best[item][1])):
                     best[int(item)] = (float(similarity), start)
 
 
+def _gram_hash(gram) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(gram))
+
+
 @lru_cache(maxsize=2)
-def _index(items: tuple) -> Index:
-    return Index(items)
+def _index(items: tuple, n: int, shared: tuple) -> Index:
+    return Index(items, n, shared)
+
 
+_GRAMS = T.ArrayType(T.LongType())
 
-def _passes(items: DataFrame, item: str, text: str) -> Iterator[tuple]:
-    """The items as tuples of (item, words), in passes of a bounded number of words."""
-    rows = items.select(F.col(item).alias("item"), F.col(text).cast("binary").alias("text")).where("text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-int(size) // (8 * PASS_WORDS)))
-    for k in range(passes):
-        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k) if passes > 1 else rows
-        yield tuple(sorted(((r["item"], tuple(plain_words(bytes(r["text"])))) for r in own.collect()), key=lambda x: (str(x[0]), x[1])))
 
+@F.pandas_udf(T.StructType([T.StructField("words", T.StringType()), T.StructField("size", T.LongType()), T.StructField("grams", _GRAMS)]))
+def _taken_apart(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in texts:
+        rows = []
+        for x in batch:
+            tokens = plain_words(x)
+            own = {_gram_hash(g) for g in Index._grams(tokens, min(WIDTH, len(tokens)))} if tokens else set()
+            rows.append((b" ".join(tokens).decode("utf-8", "replace"), len(tokens), sorted(h - (1 << 64) if h >= 1 << 63 else h for h in own)))
+        yield pd.DataFrame(rows, columns=["words", "size", "grams"])
 
-_FOUND = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
 
+class Passes:
+    """A benchmark made ready: its distinct items, the weights of all, and how many passes they take.
+
+    Items are told apart by their words.  A pass holds the items of some sizes, and at most about ``PASS_BYTES`` of their text; only
+    where the items of one size are more than that is a size split.
+    """
 
-def _searching(items: tuple, threshold: float, flag: bool):
-    """A column function over binary texts: all hits, or only whether there is one. Hits name items by place."""
-    numbered = tuple((k, words) for k, (_, words) in enumerate(items))
+    def __init__(self, items: DataFrame, item: str, text: str):
+        rows = items.select(F.col(item).alias("item"), F.col(text).cast("binary").alias("text")).where("text is not null")
+        self.all = staged(rows.select("item", _taken_apart("text").alias("w")).select("item", "w.*").where("size > 0"), "items")
+        distinct = self.all.groupBy("words", "size").agg(F.first("grams").alias("grams")).withColumn("bytes", F.octet_length("words"))
+        self.distinct = staged(distinct.withColumn("at", F.xxhash64("words")), "distinct")
+        self.n = self.distinct.count()
+        shared = self.distinct.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+        if (many := shared.count()) > MOST_SHARED:
+            raise ValueError(f"{many} shingles are shared by items; the bound is {MOST_SHARED}")
+        self.shared = tuple(sorted((r["g"] % (1 << 64), r["n"]) for r in shared.collect()))
+        sizes = sorted((r["size"], r["b"]) for r in self.distinct.groupBy("size").agg(F.sum("bytes").alias("b")).collect())
+        self.plan: list[tuple[list[int], int]] = []
+        held = 0
+        for size, b in sizes:
+            parts = -(-int(b) // PASS_BYTES)
+            if parts > 1 or not self.plan or self.plan[-1][1] > 1 or held + b > PASS_BYTES:
+                self.plan.append(([size], parts))
+                held = b
+            else:
+                self.plan[-1][0].append(size)
+                held += b
+
+    def __iter__(self) -> Iterator[tuple]:
+        """Each pass's items as (number, words); the number is the hash of the words."""
+        for sizes, parts in self.plan:
+            own = self.distinct.where(F.col("size").isin(sizes)).select("at", "words")
+            for k in range(parts):
+                got = own.where(F.pmod("at", F.lit(parts)) == k) if parts > 1 else own
+                yield tuple(sorted((r["at"], tuple(r["words"].encode().split())) for r in got.collect()))
+
+    def names(self) -> DataFrame:
+        return self.all.select(F.xxhash64("words").alias("at"), "item")
+
+
+_FOUND = T.StructType([T.StructField("at", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
+
+
+def _searching(items: tuple, passes: Passes, threshold: float, flag: bool):
+    """A column function over binary texts: all hits, or only whether there is one."""
+    n, shared = passes.n, passes.shared
 
     def each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = _index(numbered)
+        index = _index(items, n, shared)
         for batch in texts:
             found = [index.search(x, threshold) for x in batch]
             yield pd.Series([bool(x) for x in found] if flag else [[dict(zip(_FOUND.names, h)) for h in x] for x in found])
@@ -220,21 +309,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     Words are runs of letters and digits in any case.  Null and empty texts and items have no words and match
     nothing; items under five words are one shingle; a text shorter than an item is one window; ties go to
-    the first window; repeated rows give rows each; null keys pass through; an empty table on either side
-    gives an empty result. Only the columns named are read.
+    the first window; items of equal words are all found where one is; repeated rows give rows each; null keys pass
+    through; an empty table on either side gives an empty result. Only the columns named are read.
     """
-    out = None
-    for items in _passes(benchmark, item, item_text):
-        search = _searching(items, threshold, False)
-        hits = docs.select(F.col(key), F.explode(search(F.col(text).cast("binary"))).alias("hit"))
-        names = docs.sparkSession.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], T.StructType([T.StructField("at", T.IntegerType()), benchmark.schema[item]]))
-        rows = hits.select(F.col(key), F.col("hit.*")).join(F.broadcast(names), "at").select(key, item, "similarity", "first_word", "n_words")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    passes = Passes(benchmark, item, item_text)
+    hits = None
+    for items in passes:
+        search = _searching(items, passes, threshold, False)
+        found = docs.select(F.col(key), F.explode(search(F.col(text).cast("binary"))).alias("hit")).select(F.col(key).alias("_key"), "hit.*")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = docs.sparkSession.createDataFrame([], T.StructType([T.StructField("_key", docs.schema[key].dataType), *_FOUND]))
+    return hits.join(passes.names(), "at").select(F.col("_key").alias(key), F.col("item").alias(item), "similarity", "first_word", "n_words")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """The rows of docs, with all columns, in which no item is found."""
-    for items in _passes(benchmark, item, item_text):
-        docs = docs.where(~_searching(items, threshold, True)(F.col(text).cast("binary")))
+    passes = Passes(benchmark, item, item_text)
+    for items in passes:
+        docs = docs.where(~_searching(items, passes, threshold, True)(F.col(text).cast("binary")))
     return docs

@@ -4,7 +4,8 @@ Both known kinds of file cut a text at white space before anything else, and wha
 has the same ids wherever it stands.  So a batch of texts is cut into units by Arrow, each distinct unit is
 encoded once, and a text's ids are its units' ids in a row; units met before are kept in a bounded table.
 Texts in which the cut rules could matter (characters outside a plain range, unusual runs of white space)
-and other kinds of file go to the tokenizer whole.  Either way the ids are those of
+that hold one of the file's added tokens (such as ``<|endoftext|>``, which the tokenizer finds inside a text), and other
+kinds of file go to the tokenizer whole.  Either way the ids are those of the library's own
 ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
@@ -36,11 +37,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._kept: dict[str, bytes] = {}
         self._limit = kept
         with open(path, encoding="utf-8") as file:
-            self._kind = self._kind_of(json.load(file))
+            read = json.load(file)
+        self._kind = self._kind_of(read)
+        #: Added tokens, found in the text as it is; those that are found after normalising are looked for in any case.
+        added = read.get("added_tokens") or []
+        self._added = [t["content"] for t in added if t["content"]]
+        self._any_case = [t["content"].lower() for t in added if t["content"] and t.get("normalized")]
         mark = self._ids([_MARK])[0]
         self._mark = int(mark[0]) if len(mark) else -1
         if len(mark) != 1:
@@ -107,7 +112,9 @@ class Encoder:
         return [bytes(raw[a + own : b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def _plain(self, text: str) -> bool:
-        if self._kind is None or _ODD.search(text):
+        if self._kind is None or _ODD.search(text) or any(t in text for t in self._added):
+            return False
+        if self._any_case and any(t in text.lower() for t in self._any_case):
             return False
         return self._kind == "word" or not (text[0] == " " or text[-1] == " " or text.endswith("\n\n") or any(b in text for b in _BLANKS))
 

@@ -2,8 +2,8 @@
 
 Nine rules look at counts of a text and vote good (+), bad (-) or abstain (0).  How far each rule can
 be trusted is not set by hand: votes of all documents are counted by pattern (at most 3^9 of them, so
-the counts fit anywhere), expectation-maximisation fits for either class how often each rule votes
-which way, and a document is kept by the posterior probability that it is good.
+the counts fit anywhere), expectation-maximisation fits for either class how often each rule that votes votes
+bad, and a document is kept by the posterior probability that it is good.
 """
 
 from __future__ import annotations
@@ -96,52 +96,56 @@ def measures(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Fit:
-    """prior: probability of good. chances[class, rule, vote]: class 0 bad, 1 good; votes -, 0, +."""
+    """prior: probability of good. bad[class, rule]: chance that the rule votes bad if it votes; class 0 bad, 1 good."""
 
     prior: float
-    chances: np.ndarray
+    bad: np.ndarray
     patterns: dict[str, float]
 
     def posterior(self, votes: str) -> float:
-        return float(_posterior(_coded([votes]), self.prior, self.chances)[0])
+        return float(_posterior(_coded([votes]), self.prior, self.bad)[0][0])
 
 
 def _coded(patterns: list[str]) -> np.ndarray:
-    return np.array([["-0+".index(v) for v in p] for p in patterns], int).reshape(len(patterns), len(RULES))
+    return np.array([["-0+".index(v) - 1 for v in p] for p in patterns], int).reshape(len(patterns), len(RULES))
 
 
-def _posterior(votes: np.ndarray, prior: float, chances: np.ndarray) -> np.ndarray:
-    logs = [np.log(chances[c][np.arange(votes.shape[1]), votes]).sum(1) for c in (0, 1)]
-    odds = np.log(prior) - np.log1p(-prior) + logs[1] - logs[0]
-    return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+def _posterior(votes: np.ndarray, prior: float, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of good for each pattern, and the pattern's log likelihood. A rule that abstains says nothing."""
+    each = [np.log(p) + (votes < 0) @ np.log(bad[c]) + (votes > 0) @ np.log1p(-bad[c]) for c, p in ((0, 1 - prior), (1, prior))]
+    whole = np.logaddexp(*each)
+    return np.exp(each[1] - whole), whole
 
 
-def fit(counts: dict[str, int], rounds: int = 50, weight: float = 20.0) -> Fit:
-    """Expectation-maximisation over pattern counts.
+#: Fixed values of the fit: starts as (chance of a bad vote in bad documents, in good ones, share of good documents).
+STARTS = ((0.30, 0.02, 0.85), (0.50, 0.05, 0.60), (0.15, 0.01, 0.40), (0.60, 0.10, 0.95))
 
-    The start, and a prior worth ``weight`` documents in each class, is that good documents seldom get a
-    bad vote and bad ones get one in a few.  Every rule is held to be better than chance: its bad vote
-    has a chance of at most 0.02 in good documents and at least 0.1 in bad ones.  Both keep the classes
-    from changing places, and one large kind of junk from making the rules that see another kind look
-    wrong; they also give sane chances where there are few documents or none.
+
+def fit(counts: dict[str, int], rounds: int = 200, weight: float = 20.0) -> Fit:
+    """Expectation-maximisation over pattern counts, from several starts; the likeliest end counts.
+
+    The first start, as if seen in ``weight`` documents of either class, is the prior, which any number of documents outweighs:
+    it gives sane chances where there are few documents or none.  Nothing else holds the values.  The good
+    class is the one in which rules vote bad less often.
     """
     names = sorted(counts)
     votes, seen = _coded(names), np.array([counts[p] for p in names], float)
-    start = np.array([[0.30, 0.30, 0.40], [0.01, 0.24, 0.75]])
-    chances, prior = np.repeat(start[:, None, :], len(RULES), axis=1), 0.85
-    for _ in range(rounds if names else 0):
-        good = _posterior(votes, prior, chances)
-        for c, share in ((0, 1 - good), (1, good)):
-            mass = share * seen
-            for v in range(3):
-                chances[c, :, v] = ((votes == v) * mass[:, None]).sum(0) + weight * start[c, v]
-            chances[c] /= chances[c].sum(1, keepdims=True)
-            bad = np.minimum(chances[c, :, 0], 0.02) if c else np.maximum(chances[c, :, 0], 0.1)
-            chances[c, :, 1:] *= ((1 - bad) / (1 - chances[c, :, 0]))[:, None]
-            chances[c, :, 0] = bad
-        prior = min(0.99, max(0.5, ((good * seen).sum() + 0.85 * weight) / (seen.sum() + weight)))
-    found = dict(zip(names, _posterior(votes, prior, chances).tolist(), strict=True)) if names else {}
-    return Fit(prior, chances, found)
+    anchor = np.repeat(np.array(STARTS[0][:2])[:, None], len(RULES), axis=1)
+    ends = []
+    for at_bad, at_good, prior in STARTS if names else STARTS[:1]:
+        bad = np.repeat(np.array([at_bad, at_good])[:, None], len(RULES), axis=1)
+        for _ in range(rounds if names else 0):
+            good, _ = _posterior(votes, prior, bad)
+            mass = np.stack([1 - good, good]) * seen
+            bad = (mass @ (votes < 0) + weight * anchor) / (mass @ (votes != 0) + weight)
+            prior = float((mass[1].sum() + weight * STARTS[0][2]) / (seen.sum() + weight))
+        if bad[0].sum() < bad[1].sum():
+            bad, prior = bad[::-1], 1 - prior
+        likely = (seen * _posterior(votes, prior, bad)[1]).sum() + weight * (anchor * np.log(bad) + (1 - anchor) * np.log1p(-bad)).sum()
+        ends.append((float(likely), prior, bad))
+    _, prior, bad = max(ends, key=lambda x: x[0])
+    found = dict(zip(names, _posterior(votes, prior, bad)[0].tolist(), strict=True)) if names else {}
+    return Fit(prior, bad, found)
 
 
 def pattern_counts(measured: DataFrame) -> dict[str, int]:
@@ -179,10 +183,12 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose text is kept.
 
-    The votes are measured once to fit and once to filter: reading twice costs less than to keep a second
-    copy of all texts, and no row needs an id.
+    Texts are measured once: the rows are written with their votes, and read to fit and to filter.
     """
-    found = fit(pattern_counts(docs.select(measures(F.col(text)).alias("m")).select("m.*"))).patterns
+    own = "_quality"
+    while own in docs.columns:
+        own += "_"
+    measured = staged(docs.withColumn(own, measures(F.col(f"`{text}`"))), "measured")
+    found = fit(pattern_counts(measured.select(f"{own}.*"))).patterns
     kept = [v for v, p in found.items() if p >= threshold]
-    measured = docs.withColumn("_quality", measures(F.col(text)))
-    return measured.where(~F.col("_quality.base_failed") & F.col("_quality.votes").isin(kept)).drop("_quality")
+    return measured.where(~F.col(f"{own}.base_failed") & F.col(f"{own}.votes").isin(kept)).drop(own)

@@ -57,7 +57,23 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 17, source: str = "so
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int, seed: int = 17, source: str = "source", key: str = "doc_id", text: str = "text") -> None:
-    """Writes whole rows as Parquet under ``path/shard=K``, in slot order within each file; whole rows travel with the interleave."""
-    rest = [c for c in docs.columns if c != key]
-    placed = interleave(docs, n_shards, seed, source, key, text, keep=rest)
-    placed.drop("size", "text_crc32", "law", "grown_shard").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes whole rows as Parquet under ``path/shard=K``, in slot order within each file.
+
+    Only keys and hashes are ranked; a row meets its place through its key, text and the number of its copy, so texts
+    are moved once.  The columns written are those of docs, with ``slot`` and ``shard`` added; a column of docs with such a
+    name, in any case, is refused.
+    """
+    if clash := {c for c in docs.columns if c.lower() in ("slot", "shard")}:
+        raise ValueError(f"columns {sorted(clash)} have the names of the places")
+    placed = interleave(docs, n_shards, seed, source, key, text)
+    # rows that agree in key and text are interchangeable, so long as each gets a place of its own
+    copy = lambda df, order: grouped_rank(df, ["_sk", "_sc", "_ss"], order, "_sn")
+    places = placed.select(F.col(key).alias("_sk"), F.col("text_crc32").alias("_sc"), F.col("size").alias("_ss"), "slot", "shard")
+    places = copy(places, ["shard", "slot"])
+    whole = docs.withColumns({"_sk": F.col(f"`{key}`"), "_sc": F.coalesce(F.crc32(F.col(f"`{text}`")), F.lit(0)).cast("long"), "_ss": text_size(F.col(f"`{text}`"))})
+    whole = copy(whole, [F.xxhash64(F.col(f"`{source}`"))])
+    met = whole["_sk"].eqNullSafe(places["_sk"])
+    for c in ("_sc", "_ss", "_sn"):
+        met = met & (whole[c] == places[c])
+    out = whole.join(places, met).select(*[whole[c] for c in docs.columns], "slot", "shard")
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

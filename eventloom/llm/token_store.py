@@ -1,10 +1,13 @@
 """Operator 2: token ids in binary shards, with constant-time access by document key.
 
-A store is a folder of shards in ascending key order.  ``K.ids`` is a shard's raw payload, ids one after the
+A store is a folder of shards in ascending key order, none much over ``SHARD_BYTES``.  ``K.ids`` is a shard's raw payload, ids one after the
 other (little-endian, 16 bits if the vocabulary allows, else 32).  ``K.index`` holds a minimal perfect
 hash of the shard's keys with a fingerprint for each, the row range of each slot, and the offset of
 each row: a key's ids are one hash, one fingerprint test and one read away.
 
+Rows of one key are dealt by their texts too, so a key with a third of all rows is in many tasks and shards, and a
+look-up goes to each of its shards.  Two keys of one 64-bit hash are never put into one shard.
+
 Tasks write files under names of their own attempt, and only the rows that Spark accepts name them, so a
 task that is lost and run again leaves at worst a file that nothing refers to.
 """
@@ -20,14 +23,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .encoder import encoder, resolve
+from ..functions.ranking import running
+from ..sources.scratch import staged
 from .perfect_hash import PerfectHash, packed, unpacked
 
 
+#: A shard is closed once its payload has so many bytes, or its index so many rows.
+SHARD_BYTES = 32 * 1024 * 1024
+SHARD_ROWS = 1_000_000
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -77,46 +87,81 @@ def _write_shard(folder: str, hashes: list[int], payload: list[bytes], lengths:
     return base
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+class _OpenShard:
+    """What one task holds before it writes a shard."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.keys: list[pa.Array] = []
+        self.hashes: list[int] = []
+        self.known: set[int] = set()
+        self.payload: list[bytes] = []
+        self.lengths: list[int] = []
+        self.bytes = 0
+
+    @property
+    def full(self) -> bool:
+        return self.bytes >= self.most or len(self.hashes) >= SHARD_ROWS
+
+    def add(self, hashed: int, ids: bytes, length: int) -> None:
+        self.hashes.append(hashed)
+        self.known.add(hashed)
+        self.payload.append(ids)
+        self.lengths.append(length)
+        self.bytes += len(ids)
+
+    def close(self, folder: str, shard: int, kind: str) -> pa.RecordBatch:
+        """Writes the files and gives the directory's rows."""
+        base, h, n = _write_shard(folder, self.hashes, self.payload, self.lengths, kind), self.hashes, len(self.hashes)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays(self.keys), pa.array([shard] * n, pa.int64()), pa.array([base] * n, pa.string()), pa.array(h, pa.int64()), pa.array(range(n), pa.int64()),
+                pa.array([k == 0 or h[k] != h[k - 1] for k in range(n)], pa.bool_()), pa.array(self.lengths, pa.int64()),
+            ],
+            names=["key", "shard", "base", "key_hash", "row", "first", "n_tokens"],
+        )
+
+
+def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes every whole text, writes the store under ``folder`` (a URI all machines can reach), returns its directory.
 
     The directory has a row per document, in the order of the store: key, shard, base (path without
-    ending), key_hash, row, first (of the rows of its key), n_tokens; it is written as Parquet to
+    ending), key_hash, row, first (of the rows of its key in its shard), n_tokens; it is written as Parquet to
     ``folder/directory``.  Null text: the end
-    id alone.  Null keys come first, and rows of equal keys follow each other in the order of their texts;
+    id alone.  Null keys come first, and rows of equal keys follow each other in the order of their texts' hashes;
     all of them are found by their key.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("key_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("key_hash"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.repartitionByRange("key", "text_hash").sortWithinPartitions("key", "text_hash", "text").drop("text_hash")
     kept = rows.schema["key"]
-    out = T.StructType([kept, T.StructField("shard", T.IntegerType()), T.StructField("base", T.StringType()), T.StructField("key_hash", T.LongType()), T.StructField("row", T.LongType()), T.StructField("first", T.BooleanType()), T.StructField("n_tokens", T.LongType())])
+    out = T.StructType([kept, T.StructField("shard", T.LongType()), T.StructField("base", T.StringType()), T.StructField("key_hash", T.LongType()), T.StructField("row", T.LongType()), T.StructField("first", T.BooleanType()), T.StructField("n_tokens", T.LongType())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = encoder(resolve(tokenizer))
         kind = "<u2" if max(worker.size, end_id + 1) <= 1 << 16 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
-        columns, hashes, payload, lengths = [], [], [], []
+        number = TaskContext.get().partitionId() << 32
+        shard, before = _OpenShard(shard_bytes), None
         for batch in batches:
-            columns.append(batch.column(0))
-            hashes += batch.column(1).to_pylist()
-            for ids in worker.encode(batch.column(2).to_pylist()):
+            keys, start = batch.column(0), 0
+            hashes = batch.column(1).to_pylist()
+            # neighbours of one hash may still be two keys
+            plain = keys.to_pylist()
+            for k, ids in enumerate(worker.encode(batch.column(2).to_pylist())):
+                other = not shard.hashes or plain[k] != before
+                if shard.full or (other and hashes[k] in shard.known):
+                    if k > start:
+                        shard.keys.append(keys.slice(start, k - start))
+                    yield shard.close(folder, number, kind)
+                    shard, start, number = _OpenShard(shard_bytes), k, number + 1
                 ids += end
-                lengths.append(len(ids) // 4)
-                payload.append(np.frombuffer(ids, "<u4").astype(kind).tobytes())
-        if not hashes:
-            return
-        base = _write_shard(folder, hashes, payload, lengths, kind)
-        n, at = len(hashes), 0
-        shard = TaskContext.get().partitionId()
-        for column in columns:
-            m = len(column)
-            yield pa.RecordBatch.from_arrays(
-                [column, pa.array([shard] * m, pa.int32()), pa.array([base] * m, pa.string()), pa.array(hashes[at : at + m], pa.int64()), pa.array(range(at, at + m), pa.int64()), pa.array([k == 0 or hashes[k] != hashes[k - 1] for k in range(at, at + m)], pa.bool_()), pa.array(lengths[at : at + m], pa.int64())],
-                names=["key", "shard", "base", "key_hash", "row", "first", "n_tokens"],
-            )
-            at += m
-        assert at == n
+                shard.add(hashes[k], np.frombuffer(ids, "<u4").astype(kind).tobytes(), len(ids) // 4)
+                before = plain[k]
+            if len(keys) > start:
+                shard.keys.append(keys.slice(start))
+        if shard.hashes:
+            yield shard.close(folder, number, kind)
 
     path = f"{folder}/directory"
     rows.mapInArrow(write, out).write.option("compression", "zstd").parquet(path)
@@ -169,10 +214,13 @@ def read_keys(routed: DataFrame, with_ids: bool = True) -> DataFrame:
 
 
 def shard_starts(directory: DataFrame) -> DataFrame:
-    """A row per shard: base, before (ids in all shards before it), first_key, last_key."""
-    each = directory.groupBy("shard", "base").agg(F.sum("n_tokens").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
-    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return each.select("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), "first_key", "last_key")
+    """A row per shard: base, number (from 0, in the order of the store), before (ids in all shards before it), first_key, last_key.
+
+    Ids are summed over range-partitioned stretches of the order, so no task sees all shards.
+    """
+    each = directory.groupBy("shard", "base").agg(F.sum("n_tokens").alias("_n"), F.min_by("key", "row").alias("first_key"), F.max_by("key", "row").alias("last_key"), F.lit(1).cast("long").alias("_one"))
+    at = running(each, [], ["shard"], {"_upto": ("sum", "_n"), "_number": ("sum", "_one")})
+    return at.select("base", (F.col("_number") - 1).alias("number"), (F.col("_upto") - F.col("_n")).alias("before"), "first_key", "last_key")
 
 
 def read_all(directory: DataFrame) -> DataFrame:
@@ -186,11 +234,20 @@ def read_all(directory: DataFrame) -> DataFrame:
 
 
 def route(keys: DataFrame, directory: DataFrame, key: str = "key") -> DataFrame:
-    """Adds to each key the shard that would hold it: key, key_hash, base. One row per shard goes to the driver and the tasks."""
-    spark = keys.sparkSession
-    ranges = sorted((r["last_key"], r["base"]) for r in shard_starts(directory).collect() if r["last_key"] is not None)
-    lasts, bases = [x for x, _ in ranges], [b for _, b in ranges]
-    table = spark.createDataFrame([(k, b) for k, b in enumerate(bases)], "_at int, base string")
-    at = F.array_position(F.transform(F.lit(lasts) if lasts else F.array(), lambda last: last >= F.col(key)), F.lit(True))
-    routed = keys.select(F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("key_hash"), (at - 1).cast("int").alias("_at"))
-    return routed.join(F.broadcast(table), "_at").drop("_at").repartitionByRange("base").sortWithinPartitions("base", "key_hash")
+    """Adds to each key the shards that would hold it: key, key_hash, base; a row for each shard of a key that spans several.
+
+    Keys and the first keys of shards are sorted together, and each key takes the last shard that begins at or before it:
+    a search in sorted bounds, spread over tasks.  A key at which that shard begins may be in the shards before it that
+    end with it, too.  Keys before all shards have no row.  A null key is a key like any other.
+    """
+    shards = staged(shard_starts(directory), "shards")
+    ends = shards.groupBy("last_key").agg(F.min("number").alias("_least"))
+    back = shards.join(ends.withColumnRenamed("last_key", "_end"), F.col("first_key").eqNullSafe(F.col("_end")), "left")
+    none = F.lit(None).cast("long")
+    bounds = back.select(F.col("first_key").alias("key"), F.lit(0).alias("kind"), "number", F.struct("number", F.col("first_key").alias("k"), F.least("number", F.coalesce("_least", "number")).alias("least")).alias("s"))
+    asked = keys.select(F.col(key).alias("key")).withColumns({"kind": F.lit(1), "number": none, "s": F.lit(None).cast(bounds.schema["s"].dataType)})
+    met = running(bounds.unionByName(asked), [], ["key", "kind", "number"], {"at": ("last", "s")}).where("kind = 1 and at is not null")
+    least = F.when(F.col("at.k").eqNullSafe(F.col("key")), F.col("at.least")).otherwise(F.col("at.number"))
+    spread = met.select("key", F.explode(F.sequence(least, F.col("at.number"))).alias("number"))
+    routed = spread.join(shards.select("number", "base"), "number").select("key", F.xxhash64("key").alias("key_hash"), "base")
+    return routed.repartitionByRange("base").sortWithinPartitions("base", "key_hash")

@@ -207,11 +207,17 @@ def from_messages(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
 def from_turns(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Plain chats as calls: a user's turn asks for a reply, the assistant's next turn is its result.
 
-    The identifier is ``conversation/turn`` of the user's turn; a request comes after the one two turns before.
+    The identifier is ``conversation/turn`` of the user's turn.  Plain chats name no dependencies, so they are given by rule: of
+    every four requests the first waits for the second and the second for the third, which stand behind them; the fourth
+    waits for the first.  Where the conversation is divisible by 10 the third waits for the first as well: a cycle, which
+    holds the fourth too.  A request that isn't there holds nobody.
     """
     ident = lambda shift: F.concat_ws("/", F.col(conv).cast("string"), (F.col(turn) - shift).cast("string"))
     arguments = F.to_json(F.struct(F.col(text).alias("text"), F.col(turn).cast("long").alias("turn")))
-    after = F.when(F.col(turn) >= 2, F.array(ident(2))).otherwise(F.array().cast("array<string>"))
+    nth = F.pmod(F.expr(f"`{turn}` div 2"), F.lit(4))
+    cycle = F.pmod(F.col(conv).try_cast("long"), F.lit(10)) == 0
+    after = F.when(nth < 2, F.array(ident(-2))).when(nth == 3, F.array(ident(6))).when(cycle, F.array(ident(4)))
+    after = F.coalesce(after, F.array().cast("array<string>"))
     calls = messages.where(F.col(role) == "user").select(F.col(conv).alias("conv"), ident(0).alias("call_id"), F.col(turn).cast("long").alias("position"), F.lit("reply").alias("tool"), arguments.alias("arguments"), after.alias("after"))
     results = messages.where(F.col(role) == "assistant").select(F.col(conv).alias("conv"), ident(1).alias("call_id"), F.col(turn).cast("long").alias("position"), F.col(text).alias("content"))
     return calls, results
