@@ -6,17 +6,22 @@ smoothed share of the class's training tokens.  Features of a context are its la
 (an n-gram, hashed), and the word before the last (a skip feature); a word that has no place of its own
 stands for its class.  Both softmaxes start at the training frequencies and learn what the context adds.
 
-Training: every task takes its documents through gradient steps from the weights it is given and hands on
-the change, in blocks; the blocks are summed in a tree and averaged by tokens.  Counts, training
-and scores cover all documents.  What is sent to tasks has a fixed size: the weights, and the
-``frequent`` words with their counts.  Counts of all other words meet the documents in a join.
+Training: rounds of gradient updates.  Training documents are dealt to ``rounds`` groups by a hash of their key and text.
+In a round, tasks count over the group how often each feature met each outcome and how often the model
+expects it; the counts are summed in a tree, and their difference, scaled by what is expected, is the step.  Sums don't
+depend on how the table is cut, so neither do scores, but for rounding.
+
+What the model learns grows with the corpus: the number of hashed rows with the cube root of the training tokens, the
+number of classes with their sixth root, and counts of all words meet the documents in a join.  Sent to tasks are
+the weights, and the ``frequent`` words with their counts.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +42,30 @@ FAN_IN = 64
 
 @dataclass(frozen=True)
 class Settings:
-    """frequent: words sent to tasks. classes of ``members`` words each, and ``tails`` classes for the rest."""
+    """frequent: words sent to tasks. classes of ``members`` words each, and ``tails`` classes for the rest.
+
+    pairs and inner are the hashed rows of word pairs, and of features within a class.  Sizes that are None follow from the
+    number of training tokens.  ``shy``: what a row's outcome must be met more often than expected to count half.
+    """
 
     frequent: int = 1 << 17
-    classes: int = 32
+    classes: int | None = None
     members: int = 64
     tails: int = 32
-    pairs: int = 4096
-    inner: int = 8192
-    epochs: int = 1
-    rate: float = 0.25
+    pairs: int | None = None
+    inner: int | None = None
+    rounds: int = 4
+    shy: float = 1.0
     step: int = 8192
     block: int = 256
 
+    def sized(self, tokens: int) -> Settings:
+        """The same with all sizes for so many training tokens."""
+        rows = max(64, round(17 * tokens ** (1 / 3)))
+        classes = max(4, round(2 * tokens ** (1 / 6)))
+        pick = lambda given, own: own if given is None else given
+        return replace(self, classes=pick(self.classes, classes), pairs=pick(self.pairs, rows), inner=pick(self.inner, 2 * rows))
+
     @property
     def own(self) -> int:
         return self.classes * self.members
@@ -171,7 +187,7 @@ def _mix(x: np.ndarray, size: int) -> np.ndarray:
 
 def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their values. Short runs are added place by place, long ones each at once."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if rows.max(initial=0) < 1 << 16 else rows, kind="stable")
     own, values = rows[order], values.take(order, 0)
     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     many = np.diff(np.r_[starts, len(own)])
@@ -189,7 +205,13 @@ class Model:
 
     def __init__(self, lexicon: Lexicon, weights: tuple[np.ndarray, np.ndarray]):
         self.lexicon, self.weights = lexicon, weights
-        self.squares = [np.full(len(w), 1e-2, np.float32) for w in weights]
+        #: By table: how often the model expects each outcome at each row, and how often it was met.
+        self.expected = self.met = None
+
+    def learn(self) -> None:
+        """From now on ``run`` counts."""
+        self.expected = [np.zeros_like(w) for w in self.weights]
+        self.met = [np.zeros_like(w) for w in self.weights]
 
     def batch(self, texts: pa.Array) -> tuple:
         """Token stream of whole texts with ends: bounds, distinct words (the end last), each one's number, each token's word, place and features."""
@@ -216,8 +238,8 @@ class Model:
         features = np.stack([last, s.contexts + skip, 2 * s.contexts + pair])
         return bounds, names, number, stream, at, features
 
-    def _pass(self, table: int, rows: np.ndarray, bias: np.ndarray, target: np.ndarray, learn: bool) -> np.ndarray:
-        """log P of the targets (natural); with ``learn`` also a gradient step on the weights of every feature's rows."""
+    def _pass(self, table: int, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log P of the targets (natural); when learning also adds what the model expects to every feature's row."""
         w = self.weights[table]
         z = w.take(rows[0], 0)
         for r in rows[1:]:
@@ -226,37 +248,43 @@ class Model:
         z -= z.max(1, keepdims=True)
         e = np.exp(z)
         total = e.sum(1)
-        each = np.arange(len(target))
-        out = z[each, target] - np.log(total)
-        if learn:
+        out = z[np.arange(len(target)), target] - np.log(total)
+        if self.expected is not None:
             e /= total[:, None]
-            e[each, target] -= 1
             for r in rows:
-                own, g = _by_row(r, e)
-                self.squares[table][own] += np.square(g).mean(1)
-                w[own] -= self.lexicon.settings.rate * g / np.sqrt(self.squares[table][own])[:, None]
+                own, sums = _by_row(r, e)
+                self.expected[table][own] += sums
+                at, n = np.unique(r * w.shape[1] + target, return_counts=True)
+                self.met[table].reshape(-1)[at] += n
         return out
 
-    def run(self, at: np.ndarray, features: np.ndarray, learn: bool) -> np.ndarray:
-        """log P (natural) of each token but for its share of a tail class, in batches.
-
-        With ``learn`` each batch is a gradient step on the weights of all features.
-        """
+    def run(self, at: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """log P (natural) of each token but for its share of a tail class, in batches."""
         s = self.lexicon.settings
         out = np.zeros(len(at))
         for lo in range(0, len(at), s.step):
             place, rows = at[lo : lo + s.step], features[:, lo : lo + s.step]
             own = place < s.own
             group = np.where(own, place // s.members, s.classes + place - s.own)
-            got = self._pass(0, rows, self.lexicon.outer_bias, group, learn)
+            got = self._pass(0, rows, self.lexicon.outer_bias, group)
             if own.any():
                 inside, k = rows[:, own], group[own]
                 hashed = _mix(inside * s.classes + k, s.inner)
-                got[own] += self._pass(1, hashed, self.lexicon.inner_bias[k], place[own] % s.members, learn)
+                got[own] += self._pass(1, hashed, self.lexicon.inner_bias[k], place[own] % s.members)
             out[lo : lo + s.step] = got
         return out
 
 
+def updated(weights: np.ndarray, expected: np.ndarray, met: np.ndarray, shy: float) -> np.ndarray:
+    """One step: the gradient (met less expected) by what is expected, in logarithms, a third for each of the three features.
+
+    ``shy`` tokens more are taken to have met each outcome as the model expects, so what few tokens say moves little.
+    """
+    expected = expected.astype(np.float64)
+    step = np.log1p((met - expected) / (expected + shy)) / 3
+    return (weights + step).astype(np.float32)
+
+
 _BLOCKS = T.StructType([T.StructField(n, t) for n, t in (("kind", T.IntegerType()), ("block", T.IntegerType()), ("salt", T.IntegerType()), ("tokens", T.LongType()), ("sums", T.BinaryType()))])
 
 
@@ -273,55 +301,63 @@ def _summed(frames: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """docs: train, text. One round per epoch over all training documents."""
+    """docs: train, text, group. A round of updates over each group of the training documents.
+
+    A round's tasks are about the square root of the table's partitions, so that their sums, which have the size of the
+    weights, stay in proportion to the input.
+    """
     s = lexicon.settings
     weights = tuple(np.zeros(shape, np.float32) for shape in s.shapes())
-    rows = docs.where("train").select("text")
+    tasks = max(1, math.isqrt(docs.rdd.getNumPartitions()))
 
-    for _ in range(s.epochs):
+    for k in range(s.rounds):
 
-        def learn(batches: Iterator[pa.RecordBatch], given=weights) -> Iterator[pa.RecordBatch]:
-            model, seen = Model(lexicon, tuple(w.copy() for w in given)), 0
+        def count(batches: Iterator[pa.RecordBatch], given=weights) -> Iterator[pa.RecordBatch]:
+            model, seen = Model(lexicon, given), 0
+            model.learn()
             for batch in batches:
                 _, _, _, _, at, features = model.batch(batch.column(0))
-                model.run(at, features, True)
+                model.run(at, features)
                 seen += len(at)
             if not seen:
                 return
             salt = TaskContext.get().partitionId()
-            for kind, (new, old) in enumerate(zip(model.weights, given)):
-                change = (new - old) * seen
-                parts = [change[k : k + s.block].tobytes() for k in range(0, len(change), s.block)]
-                n = len(parts)
+            for kind, table in enumerate([*model.expected, *model.met]):
+                there = [j for j in range(0, len(table), s.block) if table[j : j + s.block].any()]
+                n = len(there)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([seen] * n, pa.int64()), pa.array(parts, pa.binary())],
+                    [pa.array([kind] * n, pa.int32()), pa.array([j // s.block for j in there], pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([seen] * n, pa.int64()), pa.array([table[j : j + s.block].tobytes() for j in there], pa.binary())],
                     names=_BLOCKS.names,
                 )
 
-        changes = staged(rows.mapInArrow(learn, _BLOCKS), "changes")
-        new = tuple(w.copy() for w in weights)
-        tasks = (changes.agg(F.max("salt")).first()[0] or 0) + 1
-        while tasks > 1:
-            changes, tasks = _summed(changes), -(-tasks // FAN_IN)
-        for r in changes.collect():
-            part = new[r["kind"]][r["block"] * s.block : (r["block"] + 1) * s.block]
-            part += np.frombuffer(r["sums"], np.float32).reshape(part.shape) / r["tokens"]
-        weights = new
+        rows = docs.where((F.col("train")) & (F.col("group") == k)).select("text")
+        sums = staged(rows.coalesce(max(tasks, 6) if tasks > 1 else 1).mapInArrow(count, _BLOCKS), "sums")
+        left = (sums.agg(F.max("salt")).first()[0] or 0) + 1
+        while left > 1:
+            sums, left = _summed(sums), -(-left // FAN_IN)
+        found = [np.zeros_like(w) for w in weights] + [np.zeros_like(w) for w in weights]
+        for r in sums.collect():
+            part = found[r["kind"]][r["block"] * s.block : (r["block"] + 1) * s.block]
+            part += np.frombuffer(r["sums"], np.float32).reshape(part.shape)
+        weights = tuple(updated(w, e, m, s.shy) for w, e, m in zip(weights, found[:2], found[2:]))
     return weights
 
 
 def lexicon_of(words: DataFrame, settings: Settings) -> Lexicon:
     """words: the counts of all words. The driver gets at most ``frequent`` rows, and a few for counts and tails."""
     total, distinct = words.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count(F.when(F.col("trained") > 0, 1))).first()
-    # the least count whose words, with all of higher counts, are not too many; counts are told apart by eighths of a doubling
-    step = F.floor(F.log2("seen") * 8).cast("int")
-    steps = sorted(((r["s"], r["n"]) for r in words.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    among, least = 0, None
+    settings = settings.sized(total)
+    # whole steps of counts from the top, told apart by eighths of a doubling, and of the step that is too large a share by hash
+    known = words.where("trained > 0")
+    step = F.floor(F.log2("trained") * 8).cast("int")
+    steps = sorted(((r["s"], r["n"]) for r in known.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    chosen, room = F.col("word") == END, settings.frequent
     for k, n in steps:
-        if among + n > settings.frequent:
+        if n > room:
+            chosen = chosen | ((step == k) & (F.pmod(F.xxhash64("word"), F.lit(n)) < room))
             break
-        among, least = among + n, k
-    chosen = words.where((step >= least if least is not None else F.lit(False)) | (F.col("word") == END)).select("word", "trained").toArrow()
+        chosen, room = chosen | (step == k), room - n
+    chosen = words.where(F.coalesce(chosen, F.lit(False))).select("word", "trained").toArrow()
     rows = sorted(zip(chosen["word"].to_pylist(), chosen["trained"].to_pylist()))
     tails = {r["t"]: [r["c"], r["v"]] for r in words.where("trained > 0").groupBy(tail_column(F.col("word"), settings.tails).alias("t")).agg(F.sum("trained").alias("c"), F.count("*").alias("v")).collect()}
     for w, c in Lexicon.best(rows, settings):
@@ -348,14 +384,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Se
     rows = docs.select(F.col(key).alias("_key"), (~held_out(F.col(key))).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = count_words(rows, settings)
     lexicon = lexicon_of(words, settings)
-    weights = train(rows, lexicon)
+    settings = lexicon.settings
+    weights = train(rows.withColumn("group", F.pmod(F.xxhash64("_key", "text"), F.lit(settings.rounds))), lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(lexicon, weights)
         s = settings
         for batch in batches:
             bounds, names, number, stream, at, features = model.batch(batch.column(1))
-            logs = model.run(at, features, False) / np.log(10)
+            logs = model.run(at, features) / np.log(10)
             frequent = number[stream] >= 0
             count = np.where(frequent, lexicon.count[number[stream]], 0.0)
             base = np.where(frequent, lexicon.log_base(count), 0.0)
