@@ -351,12 +351,13 @@ def lexicon_of(words: DataFrame, settings: Settings) -> Lexicon:
     known = words.where("trained > 0")
     step = F.floor(F.log2("trained") * 8).cast("int")
     steps = sorted(((r["s"], r["n"]) for r in known.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    chosen, room = F.col("word") == END, settings.frequent
+    chosen, room = F.lit(True), settings.frequent
     for k, n in steps:
         if n > room:
-            chosen = chosen | ((step == k) & (F.pmod(F.xxhash64("word"), F.lit(n)) < room))
+            chosen = (step > k) | ((step == k) & (F.pmod(F.xxhash64("word"), F.lit(n)) < room))
             break
-        chosen, room = chosen | (step == k), room - n
+        room -= n
+    chosen = (F.col("word") == END) | ((F.col("trained") > 0) & chosen)
     chosen = words.where(F.coalesce(chosen, F.lit(False))).select("word", "trained").toArrow()
     rows = sorted(zip(chosen["word"].to_pylist(), chosen["trained"].to_pylist()))
     tails = {r["t"]: [r["c"], r["v"]] for r in words.where("trained > 0").groupBy(tail_column(F.col("word"), settings.tails).alias("t")).agg(F.sum("trained").alias("c"), F.count("*").alias("v")).collect()}
